@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, language, license_scan, simhash, token_store, toxicity
+from . import bpe, decontaminate, html_text, language, license_scan, line_dedup, quality, simhash, token_store, toxicity
 
 
 def tokenizer_path() -> str:
@@ -40,6 +40,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.digest(language.identify(docs, language.train(docs)))
@@ -49,12 +53,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_html_text, op4_license_scan, op5_simhash, op7_language, op8_bpe, op10_token_store)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_html_text, op4_license_scan, op5_simhash, op6_line_dedup, op7_language, op8_bpe, op9_quality, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
