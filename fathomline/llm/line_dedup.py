@@ -7,12 +7,12 @@ first of its class, or if an earlier class has a Jaccard similarity of 4/5 or mo
 Token order: a token is its 64-bit hash, and the rank of the hash's bucket by its count in the corpus stands in the
 leading bits, so ascending numbers run from rare to frequent (any fixed order gives the same pairs; this one keeps
 lists short). Similar sets share a token of their prefixes of n - ceil(0.8 n) + 1 tokens; of candidates by a shared
-prefix token, those stay whose sizes and positions still allow the overlap; their whole token sets are then
-compared.
+prefix token, those stay whose sizes and positions still allow the overlap, and whose parity bitmaps (a token flips
+one bit) differ in no more bits than their sets may differ in tokens; their whole token sets are then compared.
 
-A token's list is not paired off. First each class is compared with the earliest of each of its lists; of a group of
-near copies all but a few are decided then. Only classes that are still undecided are compared with the other
-earlier entries of their lists.
+Lists of more than HOT classes are not paired off: each class is first compared with the earliest of such a list,
+and of a group of near copies all but a few are decided then. Only classes that are still undecided are compared
+with the earlier entries of their lists.
 
 Lines without a word (blank ones) stay. Null texts stay null; a text that loses all lines is empty. Repeated rows
 share a row key and are treated alike; a null id comes first. Sets under 4 tokens can only match exactly. Columns
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh
 
-BUCKET_BITS = 16
+BUCKET_BITS, HOT = 18, 64
+#: Sets of more tokens have four bitmaps of 64 bits, others one.
+LONG_SET = 100
 #: Bytes up to which a table of keys is shipped to all executors; beyond, it is joined by shuffle.
 BROADCAST_BYTES = 48_000_000
 
@@ -41,10 +43,17 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def bucket_ranks(docs: DataFrame, text_col: str) -> list[int]:
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row key, id, line number, words of every line with a word."""
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(id_col).alias("id"), F.posexplode(F.split(spaced(F.col(text_col)), "\n")).alias("line_no", "line"))
+    return rows.where(F.trim("line") != "").select("rk", "id", "line_no", _words(F.lower("line")).alias("words"))
+
+
+def bucket_ranks(docs: DataFrame, id_col: str, text_col: str) -> list[int]:
     """Rank of each hash bucket by its count in all texts; a fixed number of rows."""
     flat = F.replace(F.lower(spaced(F.col(text_col))), F.lit("\n"), F.lit(" "))
-    counted = docs.select(F.explode(_words(flat)).alias("w")).select((F.xxhash64("w").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
+    every = docs.select(F.explode(_words(flat)).alias("w")).select(F.xxhash64("w").alias("h"))
+    counted = every.select(F.col("h").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
     n = {r["b"]: r["n"] for r in counted}
     order = sorted(range(1 << BUCKET_BITS), key=lambda b: (n.get(b, 0), b))
     ranks = [0] * len(order)
@@ -53,33 +62,46 @@ def bucket_ranks(docs: DataFrame, text_col: str) -> list[int]:
     return ranks
 
 
-def _tokens(line: Column, ranks: Column) -> Column:
-    """Sorted distinct tokens: 16 bits of rank (which name the bucket), 46 more bits of the hash."""
+def _lines(docs: DataFrame, ranks: list[int], id_col: str, text_col: str) -> DataFrame:
+    """row key, id, line number, hashes (distinct), tokens (sorted): the bucket's rank, then the hash's other bits."""
+    table = F.from_json(F.lit("[" + ",".join(map(str, ranks)) + "]"), "array<int>")  # folded to one literal
 
     def packed(h: Column) -> Column:
         bucket = h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
-        rest = F.shiftrightunsigned(h, 2).bitwiseAND(F.lit(((1 << 46) - 1) << 16))
-        return F.shiftleft(F.get(ranks, bucket).cast("bigint"), 46).bitwiseOR(F.shiftrightunsigned(rest, 16))
+        return F.shiftleft(F.get(table, bucket).cast("bigint"), 62 - BUCKET_BITS).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS + 2))
 
-    hashes = F.transform(_words(F.lower(line)), lambda w: F.xxhash64(w))
-    return F.sort_array(F.transform(F.array_distinct(hashes), packed))
+    hashed = _rows(docs, id_col, text_col).select("rk", "id", "line_no", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
+    return hashed.select("rk", "id", "line_no", "hashes", F.sort_array(F.transform("hashes", packed)).alias("tokens"))
 
 
-def _lines(docs: DataFrame, ranks: list[int], id_col: str, text_col: str) -> DataFrame:
-    """row key, id, line number, tokens of every line with a word."""
-    table = F.from_json(F.lit("[" + ",".join(map(str, ranks)) + "]"), "array<int>")  # folded to one literal
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(id_col).alias("id"), F.posexplode(F.split(spaced(F.col(text_col)), "\n")).alias("line_no", "line"))
-    return rows.where(F.trim("line") != "").select("rk", "id", "line_no", _tokens(F.col("line"), table).alias("tokens"))
+def _parity(hashes: Column) -> Column:
+    """64 bits, each the parity of the number of hashes that have it for their own."""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", one, F.shiftrightunsigned(h, 24).bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _bitmaps() -> list[Column]:
+    """b0: over all tokens; of long sets b1 to b3: over those of three of four parts, else null."""
+    part = lambda k: F.when(F.size("hashes") > LONG_SET, _parity(F.filter("hashes", lambda h: F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(3)) == k)))
+    return [_parity(F.col("hashes")).alias("b0"), *(part(k).alias(f"b{k}") for k in (1, 2, 3))]
+
+
+def _bits_apart(other: str) -> Column:
+    """Bits in which bitmaps differ: at most the tokens in which the sets do."""
+    apart = [F.col(f"b{k}").bitwiseXOR(F.col(f"{other}{k}")) for k in range(4)]
+    rest = apart[0].bitwiseXOR(apart[1]).bitwiseXOR(apart[2]).bitwiseXOR(apart[3])
+    whole = F.bit_count(rest) + F.bit_count(apart[1]) + F.bit_count(apart[2]) + F.bit_count(apart[3])
+    return F.coalesce(whole, F.bit_count(apart[0]))
 
 
 def _prefix_length(n: Column) -> Column:
     return n - F.ceil(n * 4 / 5).cast("int") + 1
 
 
-def _may_match(n: str, pos: str, n2: str, pos2: str) -> Column:
-    """Sizes and positions allow an overlap of 4/9 of both sizes."""
+def _may_match(n: str, pos: str, n2: str, pos2: str, other: str) -> Column:
+    """Sizes, positions and bitmaps allow an overlap of 4/9 of both sizes."""
     a, b, p, q = F.col(n), F.col(n2), F.col(pos), F.col(pos2)
-    return (a * 5 >= b * 4) & (b * 5 >= a * 4) & ((F.least(a - p, b - q)) * 9 >= (a + b) * 4)
+    return (a * 5 >= b * 4) & (b * 5 >= a * 4) & ((F.least(a - p, b - q)) * 9 >= (a + b) * 4) & (_bits_apart(other) * 9 <= a + b)
 
 
 def _small(df: DataFrame, bytes_a_row: int) -> DataFrame:
@@ -87,18 +109,13 @@ def _small(df: DataFrame, bytes_a_row: int) -> DataFrame:
     return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df
 
 
-def _later_of_similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: list[int], id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (u, v) of classes: those that are the later of a pair at 4/5 or more, as column k."""
-    at = classes.select(F.col("k").alias("ck"), "first")
-    pairs = cut(
-        pairs.join(at.withColumnsRenamed({"ck": "u2", "first": "u_at"}), F.col("u") == F.col("u2"))
-        .join(at.withColumnsRenamed({"ck": "v2", "first": "v_at"}), F.col("v") == F.col("v2")).select("u", "v", "u_at", "v_at"),
-        "pairs",
-    )
-    sought = cut(pairs.select(F.explode(F.array(F.struct(F.col("u").alias("k"), F.col("u_at").alias("at")), F.struct(F.col("v").alias("k"), F.col("v_at").alias("at")))).alias("s")).select("s.k", "s.at.rk", "s.at.line_no").distinct(), "sought")
-    rows = sought.select(F.col("rk").alias("of")).distinct()
+def _later_of_similar(pairs: DataFrame, docs: DataFrame, ranks: list[int], id_col: str, text_col: str) -> DataFrame:
+    """Of pairs (u, u_at, v, v_at) of classes and their first lines: the later of each at 4/5 or more, as column k."""
+    pairs = cut(pairs, "pairs")
+    ends = F.array(F.struct(F.col("u").alias("k"), F.col("u_at").alias("at")), F.struct(F.col("v").alias("k"), F.col("v_at").alias("at")))
+    sought = cut(pairs.select(F.explode(ends).alias("s")).select("s.k", "s.at.rk", "s.at.line_no").distinct(), "sought")
     near = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("rk0", F.xxhash64("id", "text"))
-    near = near.join(_small(cut(rows, "rows"), 24), F.col("rk0") == F.col("of"), "left_semi").drop("rk0")
+    near = near.join(_small(cut(sought.select(F.col("rk").alias("of")).distinct(), "rows"), 24), F.col("rk0") == F.col("of"), "left_semi").drop("rk0")
     found = _lines(near, ranks, "id", "text").select(F.col("rk").alias("rk2"), F.col("line_no").alias("line2"), "tokens")
     sets = cut(found.join(_small(sought, 40), (F.col("rk2") == F.col("rk")) & (F.col("line2") == F.col("line_no"))).select("k", "tokens").dropDuplicates(["k"]), "sets")
     both = pairs.join(sets.withColumnsRenamed({"k": "u3", "tokens": "ut"}), F.col("u") == F.col("u3")).join(sets.withColumnsRenamed({"k": "v3", "tokens": "vt"}), F.col("v") == F.col("v3"))
@@ -109,21 +126,28 @@ def _later_of_similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ran
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rk (xxhash64 of id and text), gone: numbers of the lines to remove, from 0; documents that lose lines only."""
-    ranks = bucket_ranks(docs, text_col)
+    ranks = bucket_ranks(docs, id_col, text_col)
     n = F.size("tokens")
-    lines = cut(_lines(docs, ranks, id_col, text_col).select("rk", "id", "line_no", F.xxhash64("tokens").alias("k"), n.alias("n"), F.when(n >= 4, F.slice("tokens", F.lit(1), _prefix_length(n))).alias("prefix")), "lines")
-    classes = cut(lines.groupBy("k").agg(F.min(F.struct("id", "rk", "line_no")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-    lists = classes.where("prefix is not null").select("k", F.col("first.id").alias("id"), "n", F.posexplode("prefix").alias("pos", "token"))
-    leaders = lists.groupBy("token").agg(F.min(F.struct("id", "k", "n", "pos")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("token").alias("token2"), "lead.*", "size").withColumnsRenamed({"id": "lead_id", "k": "lead_k", "n": "lead_n", "pos": "lead_pos"})
-    listed = cut(lists.join(leaders, F.col("token") == F.col("token2")).drop("token2"), "lists")
-    first = listed.where((F.col("k") != F.col("lead_k")) & _may_match("n", "pos", "lead_n", "lead_pos")).select(F.col("k").alias("u"), F.col("lead_k").alias("v")).distinct()
-    done = _later_of_similar(first, classes, docs, ranks, id_col, text_col)
-    long = listed.where((F.col("size") > 2) & (F.col("k") != F.col("lead_k")))
-    x = long.join(done.select(F.col("k").alias("gone")), F.col("k") == F.col("gone"), "left_anti").select("token", F.col("k").alias("u"), F.col("id").alias("u_id"), "n", "pos")
-    y = long.select(F.col("token").alias("token2"), F.col("k").alias("v"), F.col("id").alias("v_id"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-    rest = x.join(y, (F.col("token") == F.col("token2")) & (F.col("u") != F.col("v")) & (F.col("v_id").isNull() | (F.col("v_id") <= F.col("u_id"))) & _may_match("n", "pos", "n2", "pos2")).select("u", "v").distinct()
-    later = done.unionByName(_later_of_similar(rest, classes, docs, ranks, id_col, text_col)).distinct().withColumnRenamed("k", "later_k")
-    verdict = classes.select(F.col("k").alias("of"), "first").join(later, F.col("of") == F.col("later_k"), "left").select("of", "first", F.col("later_k").isNotNull().alias("later"))
+    lines = cut(_lines(docs, ranks, id_col, text_col).select("rk", "id", "line_no", F.xxhash64("tokens").alias("k"), n.alias("n"), F.when(n >= 4, F.slice("tokens", F.lit(1), _prefix_length(n))).alias("prefix"), *_bitmaps()), "lines")
+    firsts = cut(lines.groupBy(F.col("k").alias("of")).agg(F.min(F.struct("id", "rk", "line_no")).alias("first")), "firsts")
+    # one line of each class stands for it
+    bits = ["b0", "b1", "b2", "b3"]
+    entries = lines.select("k", "n", *bits, "prefix").where("prefix is not null").dropDuplicates(["k"]).select("k", "n", *bits, F.posexplode("prefix").alias("pos", "token"))
+    entries = cut(entries, "entries")
+    sizes = cut(entries.groupBy(F.col("token").alias("token2")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT), "hot")
+    at = firsts.select(F.col("of").alias("k2"), F.col("first").alias("at"))
+    hot = cut(entries.join(_small(sizes, 24), F.col("token") == F.col("token2")).join(at, F.col("k") == F.col("k2")).select("token", "k", "n", "pos", *bits, "at"), "hot_lists")
+    leaders = hot.groupBy(F.col("token").alias("token2")).agg(F.min(F.struct("at", "k", "n", "pos", *bits)).alias("lead")).select("token2", F.col("lead.at").alias("v_at"), F.col("lead.k").alias("v"), F.col("lead.n").alias("n2"), F.col("lead.pos").alias("pos2"), *(F.col(f"lead.{x}").alias(f"o{x}") for x in bits))
+    first = hot.join(leaders, F.col("token") == F.col("token2")).where((F.col("k") != F.col("v")) & _may_match("n", "pos", "n2", "pos2", "ob"))
+    done = _later_of_similar(first.select(F.col("k").alias("u"), F.col("at").alias("u_at"), "v", "v_at").distinct(), docs, ranks, id_col, text_col)
+    # a class that is decided needs no earlier one any more, but may be one for others
+    marked = entries.join(_small(done, 16).withColumnRenamed("k", "done_k"), F.col("k") == F.col("done_k"), "left").select("token", "k", "n", "pos", *bits, F.col("done_k").isNotNull().alias("done"))
+    x = marked.withColumnsRenamed({"k": "u", "done": "u_done"})
+    y = marked.withColumnsRenamed({"token": "token2", "k": "v", "n": "n2", "pos": "pos2", "done": "v_done"} | {b: f"o{b}" for b in bits})
+    rest = x.join(y, (F.col("token") == F.col("token2")) & (F.col("u") != F.col("v")) & ~F.col("u_done") & ((F.col("u") < F.col("v")) | F.col("v_done")) & _may_match("n", "pos", "n2", "pos2", "ob")).select("u", "v").distinct()
+    rest = rest.join(at.withColumnsRenamed({"k2": "ku", "at": "u_at"}), F.col("u") == F.col("ku")).join(at.withColumnsRenamed({"k2": "kv", "at": "v_at"}), F.col("v") == F.col("kv")).select("u", "u_at", "v", "v_at")
+    later = done.unionByName(_later_of_similar(rest, docs, ranks, id_col, text_col)).distinct().withColumnRenamed("k", "later_k")
+    verdict = firsts.join(later, F.col("of") == F.col("later_k"), "left").select("of", "first", F.col("later_k").isNotNull().alias("later"))
     here = F.struct("id", "rk", "line_no")
     gone = lines.select("rk", "id", "line_no", "k").join(verdict, F.col("k") == F.col("of")).where(F.col("later") | (here != F.col("first")))
     return cut(gone.groupBy("rk").agg(F.collect_set("line_no").alias("gone")), "removals")
