@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, free_shuffles, fresh
 
 BUCKET_BITS, HOT = 18, 64
 #: Sets of more tokens have four bitmaps of 64 bits, others one.
@@ -132,9 +132,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     firsts = cut(lines.groupBy(F.col("k").alias("of")).agg(F.min(F.struct("id", "rk", "line_no")).alias("first")), "firsts")
     # one line of each class stands for it
     bits = ["b0", "b1", "b2", "b3"]
-    entries = lines.select("k", "n", *bits, "prefix").where("prefix is not null").dropDuplicates(["k"]).select("k", "n", *bits, F.posexplode("prefix").alias("pos", "token"))
-    entries = cut(entries, "entries")
+    classes = cut(lines.select("k", "n", *bits, "prefix").where("prefix is not null").dropDuplicates(["k"]), "classes")
+    free_shuffles(docs.sparkSession)
+    entries = classes.select("k", "n", *bits, F.posexplode("prefix").alias("pos", "token"))
     sizes = cut(entries.groupBy(F.col("token").alias("token2")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT), "hot")
+    free_shuffles(docs.sparkSession)
     at = firsts.select(F.col("of").alias("k2"), F.col("first").alias("at"))
     hot = cut(entries.join(_small(sizes, 24), F.col("token") == F.col("token2")).join(at, F.col("k") == F.col("k2")).select("token", "k", "n", "pos", *bits, "at"), "hot_lists")
     leaders = hot.groupBy(F.col("token").alias("token2")).agg(F.min(F.struct("at", "k", "n", "pos", *bits)).alias("lead")).select("token2", F.col("lead.at").alias("v_at"), F.col("lead.k").alias("v"), F.col("lead.n").alias("n2"), F.col("lead.pos").alias("pos2"), *(F.col(f"lead.{x}").alias(f"o{x}") for x in bits))
