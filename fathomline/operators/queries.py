@@ -1,0 +1,34 @@
+"""Query understanding over whole conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Intents in order of precedence, by a pattern.
+INTENTS = [("comparison", r"\b(compare|difference|versus|vs)\b"), ("definition", r"\b(what is|define|meaning)\b"), ("example", r"\b(example|instance)\b"), ("explanation", r"\b(explain|why|how)\b"), ("summary", r"\b(summar|overview)")]
+PRONOUNS = r"\b(it|this|that|they|them|these|those)\b"
+
+
+def intent(text: Column) -> Column:
+    out = F.lit("general")
+    for name, pattern in reversed(INTENTS):
+        out = F.when(F.lower(text).rlike(pattern), name).otherwise(out)
+    return out
+
+
+def self_contained(text: Column) -> Column:
+    words = F.size(F.split(F.trim(text), r"\s+"))
+    return F.when(words >= 8, True).when(F.lower(text).rlike(PRONOUNS), False).when(words >= 5, True).otherwise((words >= 4) & F.trim(text).endswith("?"))
+
+
+def with_state(turns: DataFrame, history: int = 20) -> DataFrame:
+    """Each turn with its conversation so far: turns in the window, the last known concept, whether it needs one."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    concept = F.when(F.col("role") == "assistant", F.nullif(F.regexp_extract("text", r"\b(\p{Lu}[\p{L}]{3,})", 1), F.lit("")))
+    rows = turns.withColumn("concept", concept)
+    return rows.select("conv_id", "turn", "role", "text", F.count(F.lit(1)).over(w.rowsBetween(-(history - 1), 0)).alias("held"), F.last("concept", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("last_concept"), self_contained(F.col("text")).alias("self_contained"), intent(F.col("text")).alias("intent"))
+
+
+def route(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("route", F.when(F.col("self_contained"), "direct").when(F.col("last_concept").isNotNull(), "rewrite").otherwise("clarify"))
