@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, free_shuffles, fresh
 
-BUCKET_BITS, HOT = 18, 64
+BUCKET_BITS, HOT = 16, 64
 #: Sets of more tokens have four bitmaps of 64 bits, others one.
 LONG_SET = 100
 #: Bytes up to which a table of keys is shipped to all executors; beyond, it is joined by shuffle.
@@ -146,9 +146,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     marked = entries.join(_small(done, 16).withColumnRenamed("k", "done_k"), F.col("k") == F.col("done_k"), "left").select("token", "k", "n", "pos", *bits, F.col("done_k").isNotNull().alias("done"))
     x = marked.withColumnsRenamed({"k": "u", "done": "u_done"})
     y = marked.withColumnsRenamed({"token": "token2", "k": "v", "n": "n2", "pos": "pos2", "done": "v_done"} | {b: f"o{b}" for b in bits})
-    rest = x.join(y, (F.col("token") == F.col("token2")) & (F.col("u") != F.col("v")) & ~F.col("u_done") & ((F.col("u") < F.col("v")) | F.col("v_done")) & _may_match("n", "pos", "n2", "pos2", "ob")).select("u", "v").distinct()
+    # one expression over both sides: a filter of one side alone would be pushed down, and its shuffle no longer shared
+    wanted = F.when(F.col("u_done") | (F.col("u") == F.col("v")), False).when(F.col("v_done"), True).otherwise(F.col("u") < F.col("v"))
+    rest = x.join(y, (F.col("token") == F.col("token2")) & wanted & _may_match("n", "pos", "n2", "pos2", "ob")).select("u", "v").distinct()
     rest = rest.join(at.withColumnsRenamed({"k2": "ku", "at": "u_at"}), F.col("u") == F.col("ku")).join(at.withColumnsRenamed({"k2": "kv", "at": "v_at"}), F.col("v") == F.col("kv")).select("u", "u_at", "v", "v_at")
     later = done.unionByName(_later_of_similar(rest, docs, ranks, id_col, text_col)).distinct().withColumnRenamed("k", "later_k")
+    free_shuffles(docs.sparkSession)
     verdict = firsts.join(later, F.col("of") == F.col("later_k"), "left").select("of", "first", F.col("later_k").isNotNull().alias("later"))
     here = F.struct("id", "rk", "line_no")
     gone = lines.select("rk", "id", "line_no", "k").join(verdict, F.col("k") == F.col("of")).where(F.col("later") | (here != F.col("first")))
