@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ STOP_WORDS = "a an and are as at be by for from has have in is it its of on or t
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value computed once; written out inside a lambda it would be computed again for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
@@ -55,7 +62,7 @@ def sentences(text: Column) -> Column:
 
 def covered_share(words: Column, context: Column) -> Column:
     """Share of words that occur in the context; null without words."""
-    hits = F.size(F.filter(words, lambda w: F.contains(context, w)))
+    hits = bound(context, lambda c: F.size(F.filter(words, lambda w: F.contains(c, w))))
     return F.when(F.size(words) > 0, hits / F.size(words))
 
 

@@ -37,8 +37,11 @@ def assemble(chunks: DataFrame, by: str, header: str, budget: int) -> DataFrame:
         room = F.lit(budget) - acc["used"] - T.token_count(label)
         skip = acc["stopped"].eqNullSafe(x["section"])
         fits = T.token_count(x["content"]) <= room
-        piece = F.when(fits, x["content"]).when(room > 0, leading_sentences(x["content"], room)).otherwise(F.lit(""))
-        shown = ~skip & (piece != "")
+        piece = F.when(skip, F.lit("")).when(fits, x["content"]).when(room > 0, leading_sentences(x["content"], room)).otherwise(F.lit(""))
+        return T.bound(piece, lambda p: step(acc, x, label, skip, fits, p))
+
+    def step(acc: Column, x: Column, label: Column, skip: Column, fits: Column, piece: Column) -> Column:
+        shown = piece != ""
         return F.struct(
             F.when(shown, F.concat_ws("\n", acc["text"], F.nullif(label, F.lit("")), piece)).otherwise(acc["text"]).alias("text"),
             (acc["used"] + F.when(shown, T.token_count(label) + T.token_count(piece)).otherwise(0)).cast("bigint").alias("used"),

@@ -25,8 +25,8 @@ def within_budget(rows: DataFrame, by: str, order: list[Column], tokens: str, bu
 
 def drop_repeated_lines(text: Column) -> Column:
     """Lines that equal the one before go; blank ones stay."""
-    lines = F.split(text, "\n")
-    return F.array_join(F.filter(lines, lambda x, i: (i == 0) | (F.trim(x) == "") | (F.trim(x) != F.trim(F.get(lines, F.greatest(i - 1, F.lit(0)))))), "\n")
+    kept = T.bound(F.split(text, "\n"), lambda lines: F.filter(lines, lambda x, i: (i == 0) | (F.trim(x) == "") | (F.trim(x) != F.trim(F.get(lines, F.greatest(i - 1, F.lit(0)))))))
+    return F.array_join(kept, "\n")
 
 
 def cited(answers: DataFrame, text_col: str = "text") -> DataFrame:

@@ -10,8 +10,15 @@ from fathomline.functions import text as T
 
 def phrases(words: Column, n: int) -> Column:
     """All runs of n words, space-joined."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+    def runs(w: Column) -> Column:
+        length = F.greatest(F.size(w) - (n - 1), F.lit(0))
+        out = F.slice(w, F.lit(1), length)
+        for i in range(1, n):
+            out = F.zip_with(out, F.slice(w, F.lit(i + 1), length), lambda a, b: F.concat(a, F.lit(" "), b))
+        return out
+
+    return runs(words) if n == 1 else T.bound(words, runs)
 
 
 def matches(queries: DataFrame, keys: list[str], vocabulary: DataFrame, n: int = 1) -> DataFrame:
