@@ -168,7 +168,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumn(key, F.xxhash64(id_col, text_col)).join(gone.select(F.col("rk").alias(key), F.col("gone").alias(drop)), key, "left")
     parts = F.split(F.col(text_col), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(drop))
-    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    # the parts are bound once: written out inside the lambda, the text would be split again for every line
+    left = F.get(F.transform(F.array(parts), lambda p: F.transform(kept, lambda i: F.get(p, i))), F.lit(0))
+    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if count_col:
         columns.append(F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).cast("bigint").alias(count_col))
