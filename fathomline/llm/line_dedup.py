@@ -4,15 +4,17 @@ A line's tokens are its distinct lower-cased words between white space. Lines wi
 class comes first where its first line does, by (doc_id, row key, line number). A line is removed if it is not the
 first of its class, or if an earlier class has a Jaccard similarity of 4/5 or more with its own.
 
-Token order: a token is its 64-bit hash, and the rank of the hash's bucket by its count in the corpus stands in the
-leading bits, so ascending numbers run from rare to frequent (any fixed order gives the same pairs; this one keeps
-lists short). Similar sets share a token of their prefixes of n - ceil(0.8 n) + 1 tokens; of candidates by a shared
-prefix token, those stay whose sizes and positions still allow the overlap, and whose parity bitmaps (a token flips
-one bit) differ in no more bits than their sets may differ in tokens; their whole token sets are then compared.
-
-Lists of more than HOT classes are not paired off: each class is first compared with the earliest of such a list,
-and of a group of near copies all but a few are decided then. Only classes that are still undecided are compared
-with the earlier entries of their lists.
+Token order: a token is its 64-bit hash, whose leading bits give way to the level (a logarithm) of its bucket's count
+in the corpus, so ascending numbers run from rare to frequent (any fixed order gives the same pairs; this one keeps
+lists short). Similar sets share a token of their prefixes of n - ceil(0.8 n) + 1 tokens, and of the shorter set even
+of n - ceil(8 n / 9) + 1; of candidates by a shared prefix token, those stay whose sizes and positions still allow the
+overlap, and whose parity bitmaps (a token flips one bit) differ in no more bits than their sets may differ in tokens;
+their whole token sets are then compared.
+
+A token in more than HOT prefixes is no key by itself: similar sets also share a second token of the prefix that is
+one longer, and the two are the key. Keys that are still in more than HOT lists belong to groups of near copies (or to
+frequent pairs of words) and are not paired off at once: each class is first compared with the earliest of such a list,
+and of a group of near copies all but a few are decided then. Only pairs with an undecided class are compared then.
 
 Lines without a word (blank ones) stay. Null texts stay null; a text that loses all lines is empty. Repeated rows
 share a row key and are treated alike; a null id comes first. Sets under 4 tokens can only match exactly. Columns
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, free_shuffles, fresh
 
-BUCKET_BITS, HOT = 16, 64
-#: Sets of more tokens have four bitmaps of 64 bits, others one.
+BUCKET_BITS, HOT = 17, 512
+#: Sets of more tokens have two bitmaps of 64 bits, others one.
 LONG_SET = 100
+#: Bits of a token below its level.
+HASH_BITS = 56
 #: Bytes up to which a table of keys is shipped to all executors; beyond, it is joined by shuffle.
 BROADCAST_BYTES = 48_000_000
 
@@ -49,59 +53,67 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where(F.trim("line") != "").select("rk", "id", "line_no", _words(F.lower("line")).alias("words"))
 
 
-def bucket_ranks(docs: DataFrame, id_col: str, text_col: str) -> list[int]:
-    """Rank of each hash bucket by its count in all texts; a fixed number of rows."""
+def bucket_levels(docs: DataFrame, id_col: str, text_col: str) -> list[int]:
+    """Level of each hash bucket, four times the logarithm of its count in all texts; a fixed number of rows."""
     flat = F.replace(F.lower(spaced(F.col(text_col))), F.lit("\n"), F.lit(" "))
-    every = docs.select(F.explode(_words(flat)).alias("w")).select(F.xxhash64("w").alias("h"))
-    counted = every.select(F.col("h").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
-    n = {r["b"]: r["n"] for r in counted}
-    order = sorted(range(1 << BUCKET_BITS), key=lambda b: (n.get(b, 0), b))
-    ranks = [0] * len(order)
-    for rank, b in enumerate(order):
-        ranks[b] = rank
-    return ranks
+    every = docs.select(F.explode(_words(flat)).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
+    level = F.least(F.floor(F.log2(F.count(F.lit(1))) * 4), F.lit(126)).cast("int")
+    levels = [0] * (1 << BUCKET_BITS)
+    for b, n in every.groupBy("b").agg(level.alias("n")).toLocalIterator():
+        levels[b] = n
+    return levels
+
+
+def _bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
 
-def _lines(docs: DataFrame, ranks: list[int], id_col: str, text_col: str) -> DataFrame:
-    """row key, id, line number, hashes (distinct), tokens (sorted): the bucket's rank, then the hash's other bits."""
-    table = F.from_json(F.lit("[" + ",".join(map(str, ranks)) + "]"), "array<int>")  # folded to one literal
+def _lines(docs: DataFrame, levels: list[int], id_col: str, text_col: str) -> DataFrame:
+    """row key, id, line number, tokens (distinct, sorted): the level of the bucket, then the hash's lower bits."""
+    table = F.from_json(F.lit("[" + ",".join(map(str, levels)) + "]"), "array<tinyint>")  # folded to one literal
 
     def packed(h: Column) -> Column:
-        bucket = h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
-        return F.shiftleft(F.get(table, bucket).cast("bigint"), 62 - BUCKET_BITS).bitwiseOR(F.shiftrightunsigned(h, BUCKET_BITS + 2))
+        return F.shiftleft(F.get(table, _bucket(h)).cast("bigint"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    hashed = _rows(docs, id_col, text_col).select("rk", "id", "line_no", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
-    return hashed.select("rk", "id", "line_no", "hashes", F.sort_array(F.transform("hashes", packed)).alias("tokens"))
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    return _rows(docs, id_col, text_col).select("rk", "id", "line_no", F.sort_array(F.array_distinct(F.transform(hashes, packed))).alias("tokens"))
 
 
-def _parity(hashes: Column) -> Column:
-    """64 bits, each the parity of the number of hashes that have it for their own."""
+def _parity(tokens: Column) -> Column:
+    """64 bits, each the parity of the number of tokens that have it for their own."""
     one = F.lit(1).cast("bigint")
-    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", one, F.shiftrightunsigned(h, 24).bitwiseAND(F.lit(63)).cast("int"))))
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _bitmaps() -> list[Column]:
-    """b0: over all tokens; of long sets b1 to b3: over those of three of four parts, else null."""
-    part = lambda k: F.when(F.size("hashes") > LONG_SET, _parity(F.filter("hashes", lambda h: F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(3)) == k)))
-    return [_parity(F.col("hashes")).alias("b0"), *(part(k).alias(f"b{k}") for k in (1, 2, 3))]
-
-
-def _bits_apart(other: str) -> Column:
-    """Bits in which bitmaps differ: at most the tokens in which the sets do."""
-    apart = [F.col(f"b{k}").bitwiseXOR(F.col(f"{other}{k}")) for k in range(4)]
-    rest = apart[0].bitwiseXOR(apart[1]).bitwiseXOR(apart[2]).bitwiseXOR(apart[3])
-    whole = F.bit_count(rest) + F.bit_count(apart[1]) + F.bit_count(apart[2]) + F.bit_count(apart[3])
-    return F.coalesce(whole, F.bit_count(apart[0]))
+    """b0: over all tokens, b1: zero; of long sets: each over those of one half of the hashes."""
+    half = lambda k: _parity(F.filter("tokens", lambda t: F.shiftrightunsigned(t, 8).bitwiseAND(F.lit(1)) == k))
+    long = F.size("tokens") > LONG_SET
+    return [F.when(long, half(0)).otherwise(_parity(F.col("tokens"))).alias("b0"), F.when(long, half(1)).otherwise(F.lit(0).cast("bigint")).alias("b1")]
 
 
 def _prefix_length(n: Column) -> Column:
     return n - F.ceil(n * 4 / 5).cast("int") + 1
 
 
-def _may_match(n: str, pos: str, n2: str, pos2: str, other: str) -> Column:
-    """Sizes, positions and bitmaps allow an overlap of 4/9 of both sizes."""
-    a, b, p, q = F.col(n), F.col(n2), F.col(pos), F.col(pos2)
-    return (a * 5 >= b * 4) & (b * 5 >= a * 4) & ((F.least(a - p, b - q)) * 9 >= (a + b) * 4) & (_bits_apart(other) * 9 <= a + b)
+def _may_match(x: str, y: str) -> Column:
+    """Sizes, positions and bitmaps allow an overlap of 4/9 of both sizes; x and y: prefixes of the columns' names.
+
+    Bitmaps of two sets are comparable if both are long or both are not; else those of the long one are joined.
+    """
+    a, b, p, q = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
+    apart = [F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}")) for k in ("b0", "b1")]
+    bits = F.when((a > LONG_SET) == (b > LONG_SET), F.bit_count(apart[0]) + F.bit_count(apart[1])).otherwise(F.bit_count(apart[0].bitwiseXOR(apart[1])))
+    return (a * 5 >= b * 4) & (b * 5 >= a * 4) & ((F.least(a - p, b - q)) * 9 >= (a + b) * 4) & (bits * 9 <= a + b)
+
+
+def _keys(classes: DataFrame, common: DataFrame) -> DataFrame:
+    """key, k, n, pos (of the first common token), b0, b1, double: for each token of a prefix, or its pairs if common."""
+    every = classes.select("k", "n", "b0", "b1", "prefix", F.posexplode("prefix").alias("pos", "token")).where(F.col("pos") < _prefix_length(F.col("n")))
+    told = every.join(common, F.col("token") == F.col("token2"), "left")
+    after = F.slice("prefix", F.col("pos") + 2, F.size("prefix"))
+    keys = F.when(F.col("token2").isNull(), F.array("token")).otherwise(F.transform(after, lambda t: F.xxhash64("token", t)))
+    return told.select("k", "n", "pos", "b0", "b1", F.col("token2").isNotNull().alias("double"), F.explode(keys).alias("key"))
 
 
 def _small(df: DataFrame, bytes_a_row: int) -> DataFrame:
@@ -109,14 +121,14 @@ def _small(df: DataFrame, bytes_a_row: int) -> DataFrame:
     return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df
 
 
-def _later_of_similar(pairs: DataFrame, docs: DataFrame, ranks: list[int], id_col: str, text_col: str) -> DataFrame:
+def _later_of_similar(pairs: DataFrame, docs: DataFrame, levels: list[int], id_col: str, text_col: str) -> DataFrame:
     """Of pairs (u, u_at, v, v_at) of classes and their first lines: the later of each at 4/5 or more, as column k."""
     pairs = cut(pairs, "pairs")
     ends = F.array(F.struct(F.col("u").alias("k"), F.col("u_at").alias("at")), F.struct(F.col("v").alias("k"), F.col("v_at").alias("at")))
     sought = cut(pairs.select(F.explode(ends).alias("s")).select("s.k", "s.at.rk", "s.at.line_no").distinct(), "sought")
     near = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("rk0", F.xxhash64("id", "text"))
     near = near.join(_small(cut(sought.select(F.col("rk").alias("of")).distinct(), "rows"), 24), F.col("rk0") == F.col("of"), "left_semi").drop("rk0")
-    found = _lines(near, ranks, "id", "text").select(F.col("rk").alias("rk2"), F.col("line_no").alias("line2"), "tokens")
+    found = _lines(near, levels, "id", "text").select(F.col("rk").alias("rk2"), F.col("line_no").alias("line2"), "tokens")
     sets = cut(found.join(_small(sought, 40), (F.col("rk2") == F.col("rk")) & (F.col("line2") == F.col("line_no"))).select("k", "tokens").dropDuplicates(["k"]), "sets")
     both = pairs.join(sets.withColumnsRenamed({"k": "u3", "tokens": "ut"}), F.col("u") == F.col("u3")).join(sets.withColumnsRenamed({"k": "v3", "tokens": "vt"}), F.col("v") == F.col("v3"))
     shared = F.size(F.array_intersect("ut", "vt"))
@@ -126,31 +138,38 @@ def _later_of_similar(pairs: DataFrame, docs: DataFrame, ranks: list[int], id_co
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rk (xxhash64 of id and text), gone: numbers of the lines to remove, from 0; documents that lose lines only."""
-    ranks = bucket_ranks(docs, id_col, text_col)
+    levels = bucket_levels(docs, id_col, text_col)
+    free_shuffles(docs.sparkSession)
     n = F.size("tokens")
-    lines = cut(_lines(docs, ranks, id_col, text_col).select("rk", "id", "line_no", F.xxhash64("tokens").alias("k"), n.alias("n"), F.when(n >= 4, F.slice("tokens", F.lit(1), _prefix_length(n))).alias("prefix"), *_bitmaps()), "lines")
+    prefix = F.when(n >= 4, F.slice("tokens", F.lit(1), _prefix_length(n) + 1)).alias("prefix")
+    lines = cut(_lines(docs, levels, id_col, text_col).select("rk", "id", "line_no", F.xxhash64("tokens").alias("k"), n.alias("n"), prefix, *_bitmaps()), "lines")
     firsts = cut(lines.groupBy(F.col("k").alias("of")).agg(F.min(F.struct("id", "rk", "line_no")).alias("first")), "firsts")
     # one line of each class stands for it
-    bits = ["b0", "b1", "b2", "b3"]
+    bits = ["b0", "b1"]
     classes = cut(lines.select("k", "n", *bits, "prefix").where("prefix is not null").dropDuplicates(["k"]), "classes")
     free_shuffles(docs.sparkSession)
-    entries = classes.select("k", "n", *bits, F.posexplode("prefix").alias("pos", "token"))
-    sizes = cut(entries.groupBy(F.col("token").alias("token2")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT), "hot")
+    tokens = classes.select(F.explode(F.slice("prefix", F.lit(1), _prefix_length(F.col("n")))).alias("token2"))
+    common = _small(cut(tokens.groupBy("token2").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT).select("token2"), "common"), 24)
+    entries = _keys(classes, common)
+    sizes = cut(entries.where("double").groupBy(F.col("key").alias("key2")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT).select("key2"), "hot")
     free_shuffles(docs.sparkSession)
     at = firsts.select(F.col("of").alias("k2"), F.col("first").alias("at"))
-    hot = cut(entries.join(_small(sizes, 24), F.col("token") == F.col("token2")).join(at, F.col("k") == F.col("k2")).select("token", "k", "n", "pos", *bits, "at"), "hot_lists")
-    leaders = hot.groupBy(F.col("token").alias("token2")).agg(F.min(F.struct("at", "k", "n", "pos", *bits)).alias("lead")).select("token2", F.col("lead.at").alias("v_at"), F.col("lead.k").alias("v"), F.col("lead.n").alias("n2"), F.col("lead.pos").alias("pos2"), *(F.col(f"lead.{x}").alias(f"o{x}") for x in bits))
-    first = hot.join(leaders, F.col("token") == F.col("token2")).where((F.col("k") != F.col("v")) & _may_match("n", "pos", "n2", "pos2", "ob"))
-    done = _later_of_similar(first.select(F.col("k").alias("u"), F.col("at").alias("u_at"), "v", "v_at").distinct(), docs, ranks, id_col, text_col)
+    held = ["k", "n", "pos", *bits]
+    hot = cut(entries.where("double").join(_small(sizes, 24), F.col("key") == F.col("key2")).join(at, F.col("k") == F.col("k2")).select("key", *held, "at"), "hot_lists")
+    leaders = hot.groupBy(F.col("key").alias("key2")).agg(F.min(F.struct("at", *held)).alias("lead")).select("key2", F.col("lead.at").alias("o_at"), *(F.col(f"lead.{x}").alias(f"o_{x}") for x in held))
+    first = hot.join(leaders, F.col("key") == F.col("key2")).where((F.col("k") != F.col("o_k")) & _may_match("", "o_"))
+    done = _later_of_similar(first.select(F.col("k").alias("u"), F.col("at").alias("u_at"), F.col("o_k").alias("v"), F.col("o_at").alias("v_at")).distinct(), docs, levels, id_col, text_col)
     # a class that is decided needs no earlier one any more, but may be one for others
-    marked = entries.join(_small(done, 16).withColumnRenamed("k", "done_k"), F.col("k") == F.col("done_k"), "left").select("token", "k", "n", "pos", *bits, F.col("done_k").isNotNull().alias("done"))
-    x = marked.withColumnsRenamed({"k": "u", "done": "u_done"})
-    y = marked.withColumnsRenamed({"token": "token2", "k": "v", "n": "n2", "pos": "pos2", "done": "v_done"} | {b: f"o{b}" for b in bits})
-    # one expression over both sides: a filter of one side alone would be pushed down, and its shuffle no longer shared
-    wanted = F.when(F.col("u_done") | (F.col("u") == F.col("v")), False).when(F.col("v_done"), True).otherwise(F.col("u") < F.col("v"))
-    rest = x.join(y, (F.col("token") == F.col("token2")) & wanted & _may_match("n", "pos", "n2", "pos2", "ob")).select("u", "v").distinct()
+    marked = entries.join(_small(done, 16).withColumnRenamed("k", "done_k"), F.col("k") == F.col("done_k"), "left").select("key", *held, F.col("done_k").isNotNull().alias("done"))
+    x, y = (marked.withColumnsRenamed({c: f"{side}{c}" for c in marked.columns}) for side in ("x_", "y_"))
+    # y is the shorter one, or of two of a size the one of the smaller k; its prefix may be that much shorter
+    a, b = F.col("x_n"), F.col("y_n")
+    shorter = (b < a) | ((b == a) & (F.col("y_k") < F.col("x_k")))
+    # one comparison over both sides: a condition of one side alone would be pushed down, and its shuffle no longer shared
+    early = F.col("y_pos") <= F.when(shorter & ~(F.col("x_done") & F.col("y_done")), b - F.ceil(b * 8 / 9).cast("int")).otherwise(-1)
+    rest = x.join(y, (F.col("x_key") == F.col("y_key")) & early & _may_match("x_", "y_")).select(F.col("x_k").alias("u"), F.col("y_k").alias("v")).distinct()
     rest = rest.join(at.withColumnsRenamed({"k2": "ku", "at": "u_at"}), F.col("u") == F.col("ku")).join(at.withColumnsRenamed({"k2": "kv", "at": "v_at"}), F.col("v") == F.col("kv")).select("u", "u_at", "v", "v_at")
-    later = done.unionByName(_later_of_similar(rest, docs, ranks, id_col, text_col)).distinct().withColumnRenamed("k", "later_k")
+    later = done.unionByName(_later_of_similar(rest, docs, levels, id_col, text_col)).distinct().withColumnRenamed("k", "later_k")
     free_shuffles(docs.sparkSession)
     verdict = firsts.join(later, F.col("of") == F.col("later_k"), "left").select("of", "first", F.col("later_k").isNotNull().alias("later"))
     here = F.struct("id", "rk", "line_no")
