@@ -131,7 +131,9 @@ def test_components_of_a_path(spark):
     assert {r.node: r.label for r in components.components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
-def test_line_dedup(docs):
+@pytest.mark.parametrize("hot", [512, 1])
+def test_line_dedup(docs, hot, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", hot)  # 1: pairs of tokens as keys, and lists that meet a leader first
     first, lines = {}, []
     order = sorted({(r[0] is not None, r[0] or 0, r[0], r[1]) for r in TEXTS if r[1] is not None})
     for *_, i, text in order:
