@@ -1,9 +1,12 @@
 """Quality rules (operator 9): adaptive thresholds from mergeable quantile sketches, native.
 
-Measures of each text are taken in one scan and stored. KLL sketches of them are aggregated for each language and
-source, and merged for each language; a fence stands GAP interquartile ranges beyond the quartiles, and no nearer
-than a floor, so that a group in which a measure hardly varies does not reject for little. Groups under MIN_GROUP
-texts use their language's fences, languages under it the floors alone. Texts outside a fence are not kept.
+Measures of each text are taken in one scan and stored. KLL sketches of them, over texts that pass the base rules,
+are aggregated for each language and source, and merged for each language and for the whole table. A fence stands
+GAP spreads beyond the quartiles. The spread is the interquartile range; of the shares, which most texts have at
+zero, the distance from the median to the quantile TAIL, where that is more. A spread is at least a small EPSILON, so
+that a group in which a measure does not vary does not reject for nothing. Groups under MIN_GROUP texts use their
+language's fences, languages under it those of the whole table; without any text there is no fence. Texts outside a
+fence are not kept.
 
 Words stand between white space. A window of 5 words counts as found again by the 64-bit hash of its words.
 
@@ -20,9 +23,9 @@ from .common import cut
 from .line_dedup import spaced
 
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 5, 10, 20
-MIN_GROUP, GAP, SKETCH_K = 200, 4.0, 200
-#: Measure: the least upper fence, and the greatest lower one (None: no lower fence).
-FLOORS = {"symbol_share": (0.1, None), "dup_line_share": (0.5, None), "repeat_share": (0.2, None), "mean_word": (12.0, 2.0)}
+MIN_GROUP, GAP, TAIL, SKETCH_K = 200, 4.0, 0.9, 200
+#: Measure: the least spread, and whether it is a share (the tail counts as spread; no lower fence).
+EPSILON = {"symbol_share": (0.01, True), "dup_line_share": (0.01, True), "repeat_share": (0.01, True), "mean_word": (0.1, False)}
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -60,19 +63,27 @@ def _shares() -> dict[str, Column]:
     return {"symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars").cast("double"), F.lit(1.0)), "dup_line_share": F.col("n_dup_lines") / F.greatest(words, F.lit(1.0)) * 10, "repeat_share": F.col("n_repeat_words") / F.greatest(words, F.lit(1.0)), "mean_word": F.col("word_chars") / F.greatest(words, F.lit(1.0))}
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
+
+
 def thresholds(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """group_lang, group_source, low_*, high_*: fences of each language and source."""
-    sketched = measured.where(F.col("n_words") >= MIN_WORDS).groupBy(F.col(lang_col).alias("group_lang"), F.col(source_col).alias("group_source"))
-    by = cut(sketched.agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(m) for m, c in _shares().items())), "sketches")
-    whole = by.groupBy(F.col("group_lang").alias("of")).agg(F.sum("n").alias("all_n"), *(F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(f"all_{m}") for m in FLOORS))
-    rows = by.join(whole, F.col("group_lang").eqNullSafe(F.col("of")))
-    own, enough = F.col("n") >= MIN_GROUP, F.col("all_n") >= MIN_GROUP
+    """group_lang, group_source, low_*, high_*: fences of each language and source, null where no text passes the base rules."""
+    good = ~_base_failed()
+    sketched = measured.groupBy(F.col(lang_col).alias("group_lang"), F.col(source_col).alias("group_source"))
+    by = cut(sketched.agg(F.count_if(good).alias("n"), *(F.kll_sketch_agg_double(F.when(good, c), F.lit(SKETCH_K)).alias(m) for m, c in _shares().items())), "sketches")
+
+    def merged(prefix: str) -> list[Column]:
+        return [F.sum("n").alias(f"{prefix}_n"), *(F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(f"{prefix}_{m}") for m in EPSILON)]
+
+    lang = by.groupBy(F.col("group_lang").alias("of")).agg(*merged("lang"))
+    rows = by.join(lang, F.col("group_lang").eqNullSafe(F.col("of"))).crossJoin(by.agg(*merged("all")))
     out = []
-    for m, (high, low) in FLOORS.items():
-        q = [F.kll_sketch_get_quantile_double(F.when(own, F.col(m)).otherwise(F.col(f"all_{m}")), F.lit(x)) for x in (0.25, 0.75)]
-        gap = (q[1] - q[0]) * GAP
-        out.append(F.when(enough, F.greatest(q[1] + gap, F.lit(high))).otherwise(F.lit(high)).alias(f"high_{m}"))
-        out.append((F.lit(float("-inf")) if low is None else F.when(enough, F.least(q[0] - gap, F.lit(low))).otherwise(F.lit(low))).alias(f"low_{m}"))
+    for m, (least, share) in EPSILON.items():
+        used = F.when(F.col("n") >= MIN_GROUP, F.col(m)).when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{m}")).when(F.col("all_n") > 0, F.col(f"all_{m}"))
+        q1, q2, q3, tail = (F.kll_sketch_get_quantile_double(used, F.lit(x)) for x in (0.25, 0.5, 0.75, TAIL))
+        spread = F.greatest(q3 - q1, F.lit(least), *([tail - q2] if share else []))
+        out += [(q3 + spread * GAP).alias(f"high_{m}"), (F.lit(float("-inf")) if share else q1 - spread * GAP).alias(f"low_{m}")]
     return rows.select("group_lang", "group_source", *out)
 
 
@@ -81,7 +92,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     measured = cut(measures(docs, id_col, text_col, (lang_col, source_col)), "measures")
     fences = thresholds(measured, lang_col, source_col)
     rows = measured.join(fences, F.col(lang_col).eqNullSafe(F.col("group_lang")) & F.col(source_col).eqNullSafe(F.col("group_source")), "left")
-    out = {m: F.when((c > F.coalesce(F.col(f"high_{m}"), F.lit(FLOORS[m][0]))) | (c < F.coalesce(F.col(f"low_{m}"), F.lit(FLOORS[m][1] or float("-inf")))), F.lit(m)) for m, c in _shares().items()}
+    out = {m: F.when((c > F.col(f"high_{m}")) | (c < F.col(f"low_{m}")), F.lit(m)) for m, c in _shares().items()}
     rows = rows.withColumn("failed", F.array_compact(F.array(*out.values())))
-    base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
+    base = _base_failed()
     return rows.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.size("failed") == 0)).alias("kept"), F.array_join("failed", ",").alias("failed"))

@@ -206,3 +206,16 @@ def test_language_without_letters(spark, docs):
     some = (np.uint64(keys[0][5]) >> np.uint64(16)) << np.uint64(16)
     total = language._probability(m, some + np.arange(65536, dtype=np.uint64), 4).sum()
     assert abs(total - 1) < 1e-6
+
+
+def test_quality_fences_follow_the_group(spark):
+    """The sketches decide: the same share of symbols is an outlier in one source and usual in the other."""
+    plain = [" ".join(f"w{i}x{k}" for k in range(100)) for i in range(300)]
+    marked = [t + " #####" for t in plain]
+    rows_ = [(i, t, "en", "prose") for i, t in enumerate(plain)] + [(1000, marked[0] + " " + "#" * 25, "en", "prose")]
+    rows_ += [(2000 + i, t + " ##" * (i % 20), "en", "tables") for i, t in enumerate(marked)]
+    rows_ += [(9000, plain[0] + " " + "y" * 2000, "en", "prose"), (9001, plain[0] + " #####", "xx", "few")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows_, SCHEMA)).collect()}
+    assert not got[1000].kept and got[1000].failed == "symbol_share" and 30 / got[1000].word_chars < 0.1
+    assert all(got[2000 + i].kept for i in range(300)) and max(r.n_symbols for r in got.values() if r.kept) > 30
+    assert all(got[i].kept for i in range(300)) and "mean_word" in got[9000].failed and got[9001].kept
