@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, fresh, map_batches
@@ -118,11 +118,8 @@ def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component, that of the least id, with all columns; of rows with equal id and text one."""
-    key = F.xxhash64(id_col, text_col)
-    marks = cut(fingerprints(docs.select(F.col(id_col).alias("id"), key.alias("doc"), F.col(text_col).alias("text")), "doc", "text", shingle, ("id",)), "fingerprints")
-    chosen = _classes(marks.select("fp", F.struct("id", "doc").alias("row")), ("row", F.min, "row")).select("row.*").distinct()
+def take(docs: DataFrame, key: Column, marks: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The documents whose key is a chosen doc, with all columns; of rows with equal keys one. marks: a row per document."""
     rows = marks.groupBy(F.col("doc").alias("doc2")).agg(F.count(F.lit(1)).alias("n"))
     kept = cut(chosen.join(rows, F.col("doc") == F.col("doc2")).select("doc", (F.col("n") > 1).alias("again")), "kept")
     own, again = fresh(docs, "row_key"), fresh(docs, "row_again")
@@ -131,3 +128,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     if kept.where("again").limit(1).count():
         out = out.unionByName(found.where(F.col(again)).dropDuplicates([own]).select(*docs.columns))
     return out
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One document of each component, that of the least id, with all columns; of rows with equal id and text one."""
+    key = F.xxhash64(id_col, text_col)
+    marks = cut(fingerprints(docs.select(F.col(id_col).alias("id"), key.alias("doc"), F.col(text_col).alias("text")), "doc", "text", shingle, ("id",)), "fingerprints")
+    chosen = _classes(marks.select("fp", F.struct("id", "doc").alias("row")), ("row", F.min, "row")).select("row.*").distinct()
+    return take(docs, key, marks, chosen)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.llm import bpe, components, decontaminate, html_text, language, license_scan, line_dedup, quality, simhash, token_store, toxicity
+from fathomline.llm import bpe, components, decontaminate, html_text, language, license_scan, line_dedup, near_dedup, quality, simhash, token_store, toxicity
 from fathomline.llm.queries import tokenizer_path
 
 P = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
@@ -219,3 +219,32 @@ def test_quality_fences_follow_the_group(spark):
     assert not got[1000].kept and got[1000].failed == "symbol_share" and 30 / got[1000].word_chars < 0.1
     assert all(got[2000 + i].kept for i in range(300)) and max(r.n_symbols for r in got.values() if r.kept) > 30
     assert all(got[i].kept for i in range(300)) and "mean_word" in got[9000].failed and got[9001].kept
+
+
+def test_near_dedup_of_the_pipeline(spark):
+    """Groups by Jaccard >= 0.8 over 5-word shingles, against brute force; simhash at 3 bits keeps such copies."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(25):
+        w = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(40, 300))]
+        texts.append(" ".join(w))
+        for edits in (1, 2, 3, 5, 8):
+            v = list(w)
+            for k in rng.integers(0, len(w), edits):
+                v[k] = f"e{rng.integers(0, 10**6)}"
+            texts.append(" ".join(v))
+    texts += ["", None, " \n", "One two", "one  TWO", texts[0].upper()]
+    sets = [set(zip(*((t or "").lower().split()[k:] for k in range(5)))) or {tuple((t or "").lower().split())} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4 and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)] + [(0, texts[0], "en", "a")], SCHEMA).repartition(3)
+    out = corpus_pipeline.dedup_documents(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(set(label))
+    assert len(set(label)) < simhash.keep_one(docs).count()
+    assert rows(near_dedup.keep_one(docs.limit(0))) == []
