@@ -248,3 +248,13 @@ def test_near_dedup_of_the_pipeline(spark):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(set(label))
     assert len(set(label)) < simhash.keep_one(docs).count()
     assert rows(near_dedup.keep_one(docs.limit(0))) == []
+
+
+def test_language_keeps_rare_grams(spark):
+    """Over a million characters a language: an n-gram seen once stays, and scores as the models say."""
+    counts = spark.createDataFrame([("en", int(language.grams(language.codes("abcd"))[3]), 3_000_000), ("en", int(language.grams(language.codes("wxyz"))[3]), 1)], "lang string, gram bigint, n bigint")
+    m = language.build(counts)
+    assert len(m.grams[-1][0]) == 2
+    keys, n = np.sort(language.grams(language.codes("abcd wxyz"))[[3, 8]]), np.array([3_000_000, 1])
+    want = np.log(language._probability(language.kneser_ney(keys, n), keys, 4))
+    assert np.allclose(m.logs(keys)[:, 0], want, atol=1e-4)
