@@ -33,10 +33,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: ends the lineage, survives lost executors."""
+def cut(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
+    """Write to the shared folder and read again: ends the lineage, survives lost executors. plain: without dictionaries."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    # hashes hardly repeat: a dictionary of them is built in vain
+    df.write.option("parquet.enable.dictionary", str(not plain).lower()).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

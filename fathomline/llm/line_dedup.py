@@ -57,8 +57,9 @@ def _words(text: Column) -> Column:
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, row key, line number, line in lower case; of every line with a word."""
-    split = F.posexplode(F.split(spaced(F.col(text_col)), "\n")).alias("line_no", "line")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("rk"), split)
+    # the row key is made before lines are split off, once a document and not once a line
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("rk"), spaced(F.col(text_col)).alias("text"))
+    rows = keyed.select("id", "rk", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rows.where(F.trim("line") != "").select("id", "rk", "line_no", F.lower("line").alias("line"))
 
 
@@ -231,13 +232,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n = F.size("tokens")
     prefix = F.when(n >= 4, F.slice("tokens", F.lit(1), _prefix_length(n) + 1)).alias("prefix")
     digest = [F.xxhash64("tokens").alias("k"), F.xxhash64(F.lit(1), "tokens").alias("k2")]
-    lines = cut(_lines(docs, levels, id_col, text_col).select("id", "rk", "line_no", *digest, n.alias("n"), prefix, *_bitmaps()), "lines")
+    lines = cut(_lines(docs, levels, id_col, text_col).select("id", "rk", "line_no", *digest, n.alias("n"), prefix, *_bitmaps()), "lines", plain=True)
     # one line of each class stands for it
     held = [F.first(c).alias(c) for c in ("n", "prefix", "b0", "b1")]
     least = F.min(F.struct("id", "rk", "line_no")).alias("at")
     firsts = lines.groupBy("k", "k2").agg(least, F.count(F.lit(1)).alias("lines"), *held)
-    classes = cut(firsts.withColumn("r", _rank(firsts, "at.id")), "classes")
-    wide, lines = lines, cut(lines.select("id", "rk", "line_no", "k", "k2"), "line_keys")
+    classes = cut(firsts.withColumn("r", _rank(firsts, "at.id")), "classes", plain=True)
+    wide, lines = lines, cut(lines.select("id", "rk", "line_no", "k", "k2"), "line_keys", plain=True)
     discard(wide)
     free_shuffles(spark)
 
