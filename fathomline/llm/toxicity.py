@@ -1,13 +1,16 @@
 """Toxicity (operator 2): a factorization machine over hashed terms.
 
 Terms are the distinct words of a text and their first PREFIXES characters, hashed into 2^BITS buckets. The
-machine is fitted on a bounded sample of labelled rows: at most MAX_LABELLED, the ones of least id hash, and of
-their buckets at most MAX_TERMS, those that tell the classes apart best (chi-square). Beside a weight each bucket
-has a RANK-vector; their inner products weigh pairs of terms, so that a pair can matter that neither term alone
-reveals. Everything that is scored is scored whole, one scan, with the model shipped as one small table.
+machine is fitted on a bounded sample of labelled rows: at most MAX_LABELLED, the ones of least id hash. It learns
+every bucket that tells the classes apart beyond chance (chi-square of CHI_SQUARE or more, the level of 0.1 %) and,
+since terms can matter in pairs that tell nothing alone, every bucket in the share COMMON or more of the sample; their
+number has no bound of its own. Beside a weight each bucket has a RANK-vector; their inner products weigh pairs of
+terms, so that a pair can matter that neither term alone reveals. Everything that is scored is scored whole, one scan,
+with the model shipped as one small table.
 
 Null or empty texts score by the bias alone; rows without id are never learned from; several labels of an id count
-once each; without any label every score is 0; repeated rows score alike; columns beside the named ones are not
+once each; of buckets of equal chi-square all are taken; without any label every score is 0; repeated rows of an id
+are learned from as often as they stand; repeated rows score alike; columns beside the named ones are not
 read.
 """
 
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, crc_mod, filter_batches, map_batches, plain_words
 
 BITS, PREFIXES, RANK = 20, (4, 5, 6), 4
-MAX_LABELLED, MAX_TERMS = 16_000, 4096
+MAX_LABELLED, CHI_SQUARE, COMMON = 16_000, 10.83, 0.1
 #: Passes over the sample: EPOCHS, and as many as give STEPS steps.
 EPOCHS, STEPS, BATCH, RATE, L2 = 8, 1500, 128, 0.05, 1e-5
 HOLD_OUT, FOLDS = 0, 5
@@ -124,10 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         pos, neg = totals.get(1, 0), sum(n for y, n in totals.items() if y != 1)
         if not pos or not neg:
             return Model({}, 40.0 if pos else -40.0, np.zeros(0, np.float32), np.zeros((0, RANK), np.float32))
-        counted = terms.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("q")).where("p + q >= 5")
-        a, c = F.col("p"), F.col("q")
-        chi = F.pow(a * F.lit(float(neg)) - c * F.lit(float(pos)), F.lit(2)) / ((a + c) * (F.lit(float(pos + neg)) - a - c + 1))
-        best = [r["t"] for r in counted.orderBy(chi.desc(), "t").limit(MAX_TERMS).select("t").collect()]
+        counted = terms.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("q"))
+        p, q, rows_n = F.col("p"), F.col("q"), float(pos + neg)
+        spread = F.pow(p * F.lit(float(neg)) - q * F.lit(float(pos)), F.lit(2)) * rows_n
+        chi = F.try_divide(spread, (p + q) * (F.lit(rows_n) - p - q) * F.lit(float(pos) * float(neg)))
+        told = counted.where((chi >= CHI_SQUARE) | (p + q >= COMMON * rows_n) | (p + q == rows_n))
+        best = sorted(r["t"] for r in told.select("t").collect())
         columns = {t: i for i, t in enumerate(best)}
         shared = spark.sparkContext.broadcast(frozenset(columns))
 
