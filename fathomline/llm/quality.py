@@ -4,9 +4,10 @@ Measures of each text are taken in one scan and stored. KLL sketches of them, ov
 are aggregated for each language and source, and merged for each language and for the whole table. A fence stands
 GAP spreads beyond the quartiles. The spread is the interquartile range; of the shares, which most texts have at
 zero, the distance from the median to the quantile TAIL, where that is more. A spread is at least a small EPSILON, so
-that a group in which a measure does not vary does not reject for nothing. Groups under MIN_GROUP texts use their
-language's fences, languages under it those of the whole table; without any text there is no fence. Texts outside a
-fence are not kept.
+that a group in which a measure does not vary does not reject for nothing. The fence of a group of n texts is its own
+with the weight n / (n + PRIOR) and its language's with the rest, and that of a language likewise its own and the
+whole table's: small groups lean on their language, without a size at which the rule changes. High fences, which are
+positive, are averaged as logarithms. Without any text there is no fence. Texts outside a fence are not kept.
 
 Words stand between white space. A window of 5 words counts as found again by the 64-bit hash of its words.
 
@@ -23,7 +24,7 @@ from .common import cut
 from .line_dedup import spaced
 
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 5, 10, 20
-MIN_GROUP, GAP, TAIL, SKETCH_K = 200, 4.0, 0.9, 200
+PRIOR, GAP, TAIL, SKETCH_K = 20, 4.0, 0.9, 200
 #: Measure: the least spread, and whether it is a share (the tail counts as spread; no lower fence).
 EPSILON = {"symbol_share": (0.01, True), "dup_line_share": (0.01, True), "repeat_share": (0.01, True), "mean_word": (0.1, False)}
 
@@ -77,16 +78,32 @@ def thresholds(measured: DataFrame, lang_col: str = "lang", source_col: str = "s
         return [F.sum("n").alias(f"{prefix}_n"), *(F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(f"{prefix}_{m}") for m in EPSILON)]
 
     lang = by.groupBy(F.col("group_lang").alias("of")).agg(*merged("lang"))
-    rows = by.join(lang, F.col("group_lang").eqNullSafe(F.col("of"))).crossJoin(by.agg(*merged("all")))
+    rows = by.join(lang, F.col("group_lang").eqNullSafe(F.col("of"))).crossJoin(F.broadcast(by.agg(*merged("all"))))
+    rows = rows.select("group_lang", "group_source", *(F.when(F.col(f"{p}n") > 0, F.col(f"{p}n")).alias(f"{p}n") for p in ("", "lang_", "all_")), *(_fences(m, p) for m in EPSILON for p in ("", "lang_", "all_")))
     out = []
-    for m, (least, share) in EPSILON.items():
-        used = F.when(F.col("n") >= MIN_GROUP, F.col(m)).when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{m}")).when(F.col("all_n") > 0, F.col(f"all_{m}"))
-        q1, q2, q3, tail = (F.kll_sketch_get_quantile_double(used, F.lit(x)) for x in (0.25, 0.5, 0.75, TAIL))
-        spread = F.greatest(q3 - q1, F.lit(least), *([tail - q2] if share else []))
-        out += [(q3 + spread * GAP).alias(f"high_{m}"), (F.lit(float("-inf")) if share else q1 - spread * GAP).alias(f"low_{m}")]
+    for m in EPSILON:
+        own, wider, whole = (F.col(f"{p}{m}") for p in ("", "lang_", "all_"))
+        for side, to, back in (("high", F.log, F.exp), ("low", lambda x: x, lambda x: x)):
+            near = _leaning(to(wider[side]), to(whole[side]), F.col("lang_n"))
+            out.append(back(_leaning(to(own[side]), near, F.col("n"))).alias(f"{side}_{m}"))
     return rows.select("group_lang", "group_source", *out)
 
 
+def _fences(measure: str, prefix: str) -> Column:
+    """Of one sketch: struct of high and low; null where it is of no text."""
+    least, share = EPSILON[measure]
+    sketch = F.when(F.col(f"{prefix}n") > 0, F.col(f"{prefix}{measure}"))
+    q1, q2, q3, tail = (F.kll_sketch_get_quantile_double(sketch, F.lit(x)) for x in (0.25, 0.5, 0.75, TAIL))
+    spread = F.greatest(q3 - q1, F.lit(least), *([tail - q2] if share else []))
+    low = F.lit(float("-inf")) if share else q1 - spread * GAP
+    return F.struct((q3 + spread * GAP).alias("high"), low.alias("low")).alias(f"{prefix}{measure}")
+
+
+def _leaning(own: Column, wider: Column, n: Column) -> Column:
+    """own with the weight n / (n + PRIOR), wider with the rest; without n all of wider."""
+    return F.when(n.isNull(), wider).otherwise((own * n + wider * PRIOR) / (n + PRIOR))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """id, the measures, base_failed, kept, failed (measures outside their fences)."""
     measured = cut(measures(docs, id_col, text_col, (lang_col, source_col)), "measures")
