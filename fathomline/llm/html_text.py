@@ -1,10 +1,14 @@
 """HTML extraction (operator 3): line-block distribution.
 
-Markup is stripped into lines, a line for each block. A line's weight is the length of its text, or zero where it
-lies in navigation, forms, notices, adverts, comments or outside the article that a page names. Over the lines
-slides a window of WINDOW lines; its sum of weights makes the distribution. A surge is where the sum rises from
-zero, a dive where it falls back to zero; between them lies main text. The largest stretch decides which others
-count: those that have at least KEEP of its weight, or all of them inside a named article.
+Markup is stripped into lines, a line for each block. A line's weight is the length of its text outside links (of
+headings: the whole length); it is zero in navigation, forms, notices, adverts, comments, and outside the article that
+a page names. Over the lines slides a window of WINDOW lines; its sum of weights makes the distribution.
+
+Main text lies between a surge and the next dive: a dive is where the sum falls to zero, and a stretch between dives
+surges if its sum reaches SURGE of the largest one of the page. A stretch that never surges (a line of a sidebar, a
+plain notice) is left out. The points are then set to lines: a stretch begins and ends at lines with a weight, and
+where the page names no article, short lines at either end that are no heading and no sentence go. Between the points
+every line stays, linked ones too, but for those in unwanted parts.
 
 Null or empty html gives the empty text; a page without text too; repeated rows give repeated results.
 """
@@ -13,13 +17,17 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import as_texts, map_batches
 
-WINDOW, KEEP = 3, 0.25
+WINDOW, SURGE = 3, 0.25
+#: Characters from which a line at the end of a stretch counts as text by itself.
+EDGE = 25
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|object|select|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -30,6 +38,8 @@ _TOKEN = re.compile(
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIP = frozenset("nav footer aside form head menu dialog button header".split())
+#: They hold the whole page or the article, whatever their class says.
+_WHOLE = frozenset("html body main article".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SAYS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BAD = re.compile(
@@ -40,31 +50,55 @@ _BAD = re.compile(
 _SPACES = re.compile(r"\s+")
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
-    """Lines as (text, in an unwanted part, in an article); whether the page names an article."""
-    out: list[tuple[str, bool, bool]] = []
-    held: list[str] = []
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_NOTICE = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b)|\ball rights reserved\b", re.I)
+
+
+class Line(NamedTuple):
+    text: str
+    #: Characters within links.
+    linked: int
+    heading: bool
+    #: In a part that holds no main text.
+    unwanted: bool
+    #: In an element that names itself the article.
+    article: bool
+
+
+def lines_of(page: str) -> tuple[list[Line], bool]:
+    """The lines of a page; whether it names an article."""
+    out: list[Line] = []
+    held: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []
-    named = bad = article = False
+    named = bad = article = heading = False
+    links = 0
+
+    def squeezed(parts: Iterable[str]) -> str:
+        return _SPACES.sub(" ", html.unescape("".join(parts))).strip()
 
     def flush() -> None:
-        text = _SPACES.sub(" ", html.unescape("".join(held))).strip()
-        held.clear()
-        if text:
-            out.append((text, bad, article))
+        if held:
+            text = squeezed(t for t, _ in held)
+            if text:
+                linked = sum(len(squeezed([t])) for t, inside in held if inside)
+                out.append(Line(text, linked, heading, bad, article))
+            held.clear()
 
     at = 0
     for m in _TOKEN.finditer(page):
-        held.append(page[at : m.start()])
+        if m.start() > at:
+            held.append((page[at : m.start()], links > 0))
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
             if m["raw"]:
-                held.append(" ")
+                held.append((" ", False))
             continue
+        if name == "a":
+            links = 0 if m["end"] else 1
         if name in _INLINE:
             if name == "br":
-                held.append(" ")
+                held.append((" ", False))
             if not _SAYS.search(m["rest"]) or name in _VOID:
                 continue
         if m["end"]:
@@ -76,9 +110,10 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
             flush()
         else:
             says = " ".join(x for s in _SAYS.findall(m["rest"]) for x in s)
-            unwanted = bool(says and _BAD.search(says)) or name in _SKIP and not (name == "header" and article)
+            unwanted = bool(says and name not in _WHOLE and _BAD.search(says)) or name in _SKIP and not (name == "header" and article)
             if name not in _INLINE:
                 flush()
+                links = 0
                 if name in _CLOSES_P and any(s[0] == "p" for s in stack):
                     while stack.pop()[0] != "p":
                         pass
@@ -92,25 +127,56 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
             named |= inside
             stack.append((name, unwanted, inside))
         bad, article = any(s[1] for s in stack), any(s[2] for s in stack)
-    held.append(page[at:])
+        heading = any(s[0] in _HEADINGS for s in stack)
+    if at < len(page):
+        held.append((page[at:], links > 0))
     flush()
     return out, named
 
 
+def weights(lines: list[Line], named: bool) -> list[int]:
+    """What each line adds to the distribution."""
+    out = []
+    for x in lines:
+        if x.unwanted or named and not x.article or not named and _NOTICE.search(x.text):
+            out.append(0)
+        else:
+            out.append(len(x.text) if x.heading else max(0, len(x.text) - x.linked))
+    return out
+
+
+def stretches(weight: list[int], window: int = WINDOW, surge: float = SURGE) -> list[tuple[int, int]]:
+    """First and last line of each stretch between a surge and its dive."""
+    sums = [sum(weight[i : i + window]) for i in range(len(weight))]
+    least = surge * max(sums, default=0)
+    found, start, peak = [], None, 0
+    for i, s in enumerate([*sums, 0]):
+        if s:
+            start, peak = (i if start is None else start), max(peak, s)
+        elif start is not None:
+            if peak >= least:
+                held = [k for k in range(start, i) if weight[k]]
+                found.append((held[0], held[-1]))
+            start, peak = None, 0
+    return found
+
+
+def _is_text(x: Line) -> bool:
+    return x.heading or len(x.text) - x.linked >= EDGE or x.text.endswith((".", "!", "?", "…", '."', ".)", "”", "»", "。"))
+
+
 def main_text(page: str) -> str:
     lines, named = lines_of(page)
-    weight = [0 if bad or named and not article else len(text) for text, bad, article in lines]
-    sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    stretches, start = [], None
-    for i, s in enumerate([*sums, 0]):
-        if s and start is None:
-            start = i  # surge
-        elif not s and start is not None:
-            stretches.append((sum(weight[start:i]), start, i))  # dive
-            start = None
-    most = max(stretches, default=(0,))[0]
-    chosen = [i for total, a, b in stretches if named or total >= KEEP * most for i in range(a, b)]
-    return "\n\n".join(lines[i][0] for i in chosen if weight[i])
+    weight = weights(lines, named)
+    out = []
+    for first, last in stretches(weight):
+        if not named:
+            while first < last and not _is_text(lines[first]):
+                first += 1
+            while last > first and not _is_text(lines[last]):
+                last -= 1
+        out += [x.text for x in lines[first : last + 1] if not x.unwanted and (x.article or not named)]
+    return "\n\n".join(out)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
