@@ -21,22 +21,68 @@ from .common import as_bytes, map_batches, plain_words
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label and wording. The wording of public licence notices.
+#: Wording that several texts share. Fixed values.
+_CONDITIONS = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BINARY = (
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"
+    " in the documentation and or other materials provided with the distribution"
+)
+_NAMES = (
+    "neither the name of <<var 12>> nor the names of its contributors may be used to endorse or promote products derived from"
+    " this software without specific prior written permission"
+)
+_NO_WARRANTY = (
+    "this software is provided by <<var 12>> as is and any express or implied warranties including but not limited to the implied"
+    " warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var 12>> be liable for any"
+    " direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute"
+    " goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in"
+    " contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if"
+    " advised of the possibility of such damage"
+)
+_ITEM = "<<opt>> <<var 1>> <<end>>"
+#: Label and wording. The wording of public licences and of notices that name them.
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license <<opt>> version <<end>> 2 0"),
     ("apache-2.0", "apache license version 2 0 <<opt>> january 2004 <<end>>"),
+    ("apache-2.0-notice", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may"
+     " obtain a copy of the license at <<var 12>> unless required by applicable law or agreed to in writing software distributed under the"
+     " license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for"
+     " the specific language governing permissions and limitations under the license"),
     ("mit-notice", "<<alt>> released <<or>> licensed <<or>> distributed <<or>> available <<end>> under the <<opt>> terms of the <<end>> mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this <<var 3>> and associated documentation files"),
+    ("mit-clause", "permission is hereby granted free of charge to any person obtaining a copy of this <<var 3>> and associated documentation files"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this <<var 3>> and associated documentation files"
+     " <<opt>> the <<alt>> software <<or>> materials <<end>> <<end>> to deal in the <<alt>> software <<or>> materials <<end>> without restriction including without"
+     " limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the <<alt>> software <<or>> materials <<end>> and to permit"
+     " persons to whom the <<alt>> software <<or>> materials <<end>> <<alt>> is <<or>> are <<end>> furnished to do so subject to the following conditions the above copyright notice and this"
+     " permission notice <<opt>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the <<alt>> software <<or>> materials <<end>>"
+     " the <<alt>> software is <<or>> materials are <<end>> provided as is without warranty of any kind express or implied including but not limited to the warranties of"
+     " merchantability fitness for a particular purpose and noninfringement in no event shall <<var 12>> be liable for any claim damages or"
+     " other liability whether in an action of contract tort or otherwise arising from out of or in connection with the <<alt>> software <<or>> materials <<end>>"
+     " or the use or other dealings in the <<alt>> software <<or>> materials <<end>>"),
     ("gpl-3.0", "gnu general public license <<opt>> as published by the free software foundation either <<end>> version 3"),
     ("gpl-2.0", "gnu general public license <<opt>> as published by the free software foundation either <<end>> version 2"),
-    ("lgpl", "gnu lesser general public license"),
+    ("lgpl", "gnu <<alt>> lesser <<or>> library <<end>> general public license"),
+    ("agpl", "gnu affero general public license"),
     ("cc-by-4.0", "<<opt>> licensed under <<end>> cc by 4 0"),
     ("cc-by-nc-4.0", "<<opt>> licensed under <<end>> cc by nc 4 0"),
     ("cc-by-sa-4.0", "<<opt>> licensed under <<end>> cc by sa 4 0"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-clause", _CONDITIONS),
+    ("bsd-2-clause", f"{_CONDITIONS} {_ITEM} {_SOURCE} {_ITEM} {_BINARY} {_NO_WARRANTY}"),
+    ("bsd-3-clause", f"{_CONDITIONS} {_ITEM} {_SOURCE} {_ITEM} {_BINARY} {_ITEM} {_NAMES} {_NO_WARRANTY}"),
     ("mpl-2.0", "mozilla public license <<opt>> v <<end>> <<opt>> version <<end>> 2 0"),
-    ("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense-text", "this is free and unencumbered software released into the public domain"),
+    ("isc-clause", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "permission to use copy modify <<opt>> and or <<end>> <<opt>> and <<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above"
+     " copyright notice and this permission notice appear in all copies the software is provided as is and <<var 8>> disclaims all warranties"
+     " with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var 8>> be liable for"
+     " any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in"
+     " an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the <<alt>> authors <<or>> author <<end>> be held liable for any"
+     " damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial"
+     " applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("unlicense-clause", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or"
+     " distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 ]
 
 
@@ -142,9 +188,10 @@ def scan(text: bytes) -> dict:
     places, base, labels = [], set(), set()
     for phrase, label in PHRASES.items():
         sought = b" " + phrase.encode() + b" "
-        at = joined.find(sought)
+        at, word, seen = joined.find(sought), 0, 0
         while at >= 0:
-            places.append(joined.count(b" ", 0, at))
+            word, seen = word + joined.count(b" ", seen, at), at
+            places.append(word)
             base.add(label)
             at = joined.find(sought, at + 1)
     spans = []
