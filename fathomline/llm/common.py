@@ -9,17 +9,20 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: bounds what a Python worker holds even when texts are long.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch: together they bound what a Python worker holds, also of very long texts.
+BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temp folder only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). A temp folder stands in for it only where
+    both are one process; on a cluster without the setting this is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = _own_dir()
     return found.rstrip("/")
 
@@ -29,6 +32,17 @@ def _own_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="fathomline-")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """The session's Arrow batches hold no more than BATCH_ROWS rows and about BATCH_BYTES; smaller settings stay.
+
+    Spark reads these settings when a plan runs, so they remain set.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -58,7 +72,7 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """mapInArrow with bounded batches; fn returns columns by name."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(df.sparkSession)
     names = [x.name for x in _arrow_schema(df.sparkSession, schema)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +88,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
 
 def filter_batches(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
     """Rows, with all their columns, for which keep says so."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +106,7 @@ def _arrow_schema(spark: SparkSession, schema: str):
 
 @functools.lru_cache(maxsize=64)
 def _types(schema: str) -> dict[str, pa.DataType]:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
     return {a: kinds[b] for a, b in (x.strip().split(" ", 1) for x in schema.split(","))}
 
 
@@ -119,6 +133,12 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits that stand for a row's id and text; nulls differ from empty strings."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    return F.md5(F.concat(part(id_col), F.lit("\x00"), part(text_col)))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df has not."""
     while name.lower() in {c.lower() for c in df.columns}:

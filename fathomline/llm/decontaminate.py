@@ -7,26 +7,30 @@ are filed under their rarest one, and a document meets a window only through tha
 then bound the place (it must start `offset` words before and end within the document), and the words are
 compared.
 
-The item side is processed in blocks of at most BLOCK_WINDOWS windows, each shipped to the executors as one table
-of proven size; the document side is scanned map-side and never shuffled.
+The item side is processed in blocks of about BLOCK_WINDOWS windows, each shipped to the executors as one table of
+proven size; the document side is scanned map-side and never shuffled. A benchmark of one block takes one scan. Of
+more blocks each is a scan of its own, in which a worker holds that block only and returns the hits of the few
+documents that have any; they are joined at the end, on 128 bits of id and text.
 
 Null texts have no words; documents without words are not hit; repeated items count under each item_id; repeated
-documents give repeated rows; an empty benchmark hits nothing; columns beside the named ones are not read.
+documents give repeated rows; an empty benchmark hits nothing; a null item_id counts in n_items and stands as null in
+item_ids (and not in a text made of them); columns beside the named ones are not read.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, filter_batches, map_batches, plain_words
+from .common import as_bytes, bounded_batches, cut, filter_batches, map_batches, plain_words, row_key
 
 WIDTH, SHINGLE = 10, 2
 #: Windows of one block: under 100 MB as a table in a Python worker.
@@ -85,7 +89,7 @@ def corpus_counts(docs: DataFrame, shingles: set[tuple[bytes, ...]], text_col: s
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([b" ".join(k) for k in found], pa.binary()), pa.array(list(found.values()), pa.int64())], names=["shingle", "n"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    bounded_batches(spark)
     rows = docs.select(text_col).mapInArrow(run, "shingle binary,n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator()
     return {tuple(bytes(r[0]).split(b" ")): r[1] for r in rows}
 
@@ -118,39 +122,88 @@ def match(words: list[bytes], index: dict) -> tuple[np.ndarray | None, set[int]]
     return hit, items
 
 
-def prepare(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> list:
-    """The index of each block of items, broadcast."""
-    blocks = []
+def _indexes(docs: DataFrame, benchmark: DataFrame, width: int, text_col: str, item_col: str, item_text: str) -> Iterator:
+    """The index of each block of items, broadcast; the next is made when it is asked for."""
     for windows in _blocks(benchmark, width, item_col, item_text):
         counts = corpus_counts(docs, {s for w in windows for _, s in _shingles(w)}, text_col)
-        blocks.append(docs.sparkSession.sparkContext.broadcast(build_index(windows, counts)))
-    return blocks
+        yield docs.sparkSession.sparkContext.broadcast(build_index(windows, counts))
 
 
-def match_all(words: list[bytes], blocks: list) -> tuple[int, set[int]]:
-    """Hit words and items over all blocks."""
-    hit, items = None, set()
-    for block in blocks:
-        h, found = match(words, block.value)
-        items |= found
-        hit = h if hit is None else hit if h is None else hit | h
-    return 0 if hit is None else int(hit.sum()), items
+def _spans(hit: np.ndarray | None) -> list[int]:
+    """Starts and ends of the runs of hit words, in turn."""
+    if hit is None:
+        return []
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+    return edges.tolist()
+
+
+def _joined(spans: list[int]) -> int:
+    """Words in the union of spans."""
+    total = reach = 0
+    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
+        total += max(0, b - max(a, reach))
+        reach = max(reach, b)
+    return total
+
+
+_COLUMNS = "n_words bigint,n_hit bigint,n_items bigint,item_ids array<bigint>,contaminated boolean"
+
+
+def _row(out: dict[str, list], n_words: int, n_hit: int, items: Iterable) -> None:
+    ids = sorted(items, key=str)
+    for k, v in (("n_words", n_words), ("n_hit", n_hit), ("n_items", len(ids)), ("item_ids", ids), ("contaminated", n_hit > 0)):
+        out.setdefault(k, []).append(v)
+
+
+def _hits(keyed: DataFrame, block, name: str) -> DataFrame:
+    """row, spans, items of the documents that a block hits, stored. keyed: row, text."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"row": [], "spans": [], "items": []}
+        for row, text in zip(batch.column("row").to_pylist(), as_bytes(batch, "text"), strict=True):
+            hit, items = match(plain_words(text), block.value)
+            if hit is not None:
+                for k, v in (("row", row), ("spans", _spans(hit)), ("items", sorted(items, key=str))):
+                    out[k].append(v)
+        return out
+
+    return cut(map_batches(keyed, run, "row string,spans array<bigint>,items array<bigint>"), name)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_ids (array, sorted as strings), contaminated; a row per document."""
-    blocks = prepare(docs, benchmark, width, text_col, item_col, item_text)
+    blocks = _indexes(docs, benchmark, width, text_col, item_col, item_text)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
 
-    def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "n_items", "item_ids", "contaminated")}
-        for text in as_bytes(batch, text_col):
-            words = plain_words(text)
-            n, items = match_all(words, blocks)
-            for k, v in (("n_words", len(words)), ("n_hit", n), ("n_items", len(items)), ("item_ids", sorted(items, key=str)), ("contaminated", n > 0)):
-                out[k].append(v)
+        def run(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {}
+            for text in as_bytes(batch, text_col):
+                words = plain_words(text)
+                hit, items = match(words, first.value) if first else (None, set())
+                _row(out, len(words), 0 if hit is None else int(hit.sum()), items)
+            return out | {id_col: batch.column(id_col)}
+
+        return map_batches(docs.select(id_col, text_col), run, f"{id_col} bigint,{_COLUMNS}")
+
+    keyed = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    hits = [_hits(keyed, block, f"block_hits_{k}") for k, block in enumerate(chain([first, second], blocks))]
+    # a row of each block and document with hits; equal rows of docs have equal hits
+    every = reduce(DataFrame.unionByName, hits).groupBy("row").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+    every = every.select(F.col("row").alias("of_row"), "spans", "items")
+
+    def merge(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {}
+        for n, spans, items in zip(*(batch.column(c).to_pylist() for c in ("n", "spans", "items")), strict=True):
+            _row(out, n, _joined(spans or []), set(items or []))
         return out | {id_col: batch.column(id_col)}
 
-    return map_batches(docs.select(id_col, text_col), run, f"{id_col} bigint,n_words bigint,n_hit bigint,n_items bigint,item_ids array<bigint>,contaminated boolean")
+    def count(batch: pa.RecordBatch) -> dict:
+        return {id_col: batch.column(id_col), "row": batch.column("row"), "n": [len(plain_words(t)) for t in as_bytes(batch, "text")]}
+
+    sized = map_batches(docs.select(id_col, row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")), count, f"{id_col} bigint,row string,n bigint")
+    joined = sized.join(every, F.col("row") == F.col("of_row"), "left").select(id_col, "n", "spans", "items")
+    return map_batches(joined, merge, f"{id_col} bigint,{_COLUMNS}")
 
 
 def digest(result: DataFrame) -> DataFrame:
@@ -159,6 +212,19 @@ def digest(result: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents, with all their columns, in which no window occurs."""
-    blocks = prepare(docs, benchmark, width, text_col, item_col, item_text)
-    return filter_batches(docs, lambda batch: [match_all(plain_words(text), blocks)[0] == 0 for text in as_bytes(batch, text_col)])
+    """The documents, with all their columns, in which no window occurs. Of several blocks each is a filter of its own,
+    stored, so that a worker holds one at a time."""
+    blocks = _indexes(docs, benchmark, width, text_col, item_col, item_text)
+    held, later = next(blocks, None), next(blocks, None)
+    if held is None:
+        return docs
+    while True:
+        docs = filter_batches(docs, functools.partial(_untouched, held, text_col))
+        if later is None:
+            return docs
+        docs = cut(docs, "untouched")
+        held, later = later, next(blocks, None)
+
+
+def _untouched(block, text_col: str, batch: pa.RecordBatch) -> list[bool]:
+    return [match(plain_words(text), block.value)[0] is None for text in as_bytes(batch, text_col)]

@@ -28,13 +28,15 @@ beside the named ones are passed on as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StringType
 
 from .common import cut, discard, free_shuffles, fresh
 
-BUCKET_BITS, HOT = 17, 512
+BUCKET_BITS, HOT = 18, 512
 #: The rarest tokens of a class under which it meets a leader.
 ROUND_TOKENS = 2
 #: Sets of more tokens have two bitmaps of 64 bits, others one.
@@ -92,20 +94,19 @@ def _lines(docs: DataFrame, levels: list[int], id_col: str, text_col: str) -> Da
     return rows.select("id", "rk", "line_no", F.sort_array(F.transform("h", packed)).alias("tokens"))
 
 
-def _parity(tokens: Column) -> Column:
-    """64 bits, each the parity of the number of tokens that have it for their own."""
-    one = F.lit(1).cast("bigint")
-    flip = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int")))
-    return F.aggregate(tokens, F.lit(0).cast("bigint"), flip)
+def _parity(flips: Callable[[Column], Column]) -> Column:
+    """64 bits, each the parity of the number of tokens that flip it; a token flips its own bit if flips gives 1."""
+    return F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", flips(t), t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _bitmaps() -> list[Column]:
     """b0: over all tokens, b1: zero; of long sets: each over those of one half of the hashes."""
-    half = lambda k: _parity(F.filter("tokens", lambda t: F.shiftrightunsigned(t, 8).bitwiseAND(F.lit(1)) == k))
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    upper = lambda t: F.shiftrightunsigned(t, 8).bitwiseAND(one)
     long = F.size("tokens") > LONG_SET
     return [
-        F.when(long, half(0)).otherwise(_parity(F.col("tokens"))).alias("b0"),
-        F.when(long, half(1)).otherwise(F.lit(0).cast("bigint")).alias("b1"),
+        F.when(long, _parity(lambda t: upper(t).bitwiseXOR(one))).otherwise(_parity(lambda t: one)).alias("b0"),
+        F.when(long, _parity(upper)).otherwise(zero).alias("b1"),
     ]
 
 
@@ -248,10 +249,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tokens = _prefix_tokens(open_index).where(F.shiftrightunsigned("key", HASH_BITS) >= 4 * (HOT.bit_length() - 1))
     common = cut(tokens.groupBy(F.col("key").alias("token2")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT).select("token2"), "common")
     shipped = _small(common, 24)
-    sizes = _keys(open_index, shipped).where("double").groupBy(F.col("key").alias("key2")).agg(F.count(F.lit(1)).alias("size"))
-    hot_keys = cut(sizes.where(F.col("size") > HOT).select("key2"), "hot_keys")
-    is_hot, shipped_hot = F.col("double") & (F.col("key") == F.col("key2")), _small(hot_keys, 24)
-    hot = cut(_keys(open_index, shipped).where("double").join(shipped_hot, is_hot, "left_semi").select("key", "k", "r", *_HELD), "hot")
+    doubles = cut(_keys(open_index, shipped).where("double").select("key", "k", "r", *_HELD), "doubles", plain=True)
+    hot_keys = cut(doubles.groupBy(F.col("key").alias("key2")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT).select("key2"), "hot_keys")
+    is_hot, shipped_hot = F.col("key") == F.col("key2"), _small(hot_keys, 24)
+    hot = doubles.join(shipped_hot, is_hot, "left_semi")
     free_shuffles(spark)
 
     led = _met(_prefix_tokens(open_index, ROUND_TOKENS)).unionByName(_met(hot)).distinct()
@@ -263,7 +264,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     same_key = (F.col("x_key") == F.col("y_key")) & (F.col("x_k") != F.col("y_k"))
     # y is the shorter set, or of equal ones that of the smaller k, and its prefix that much shorter
-    entries = _keys(_marked(index, decided), shipped).join(shipped_hot, is_hot, "left_anti").select("key", "k", "r", *_HELD)
+    entries = _keys(_marked(index, decided), shipped).join(shipped_hot, is_hot & F.col("double"), "left_anti").select("key", "k", "r", *_HELD)
     # no key has more than HOT entries here, so that parts are even; what the join asks of one side is said of both before
     entries = entries.where(" and ".join(f"{c} is not null" for c in entries.columns)).repartition("key")
     a, b = _size("x_m"), _size("y_m")
@@ -288,7 +289,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     gone = lines.join(lost, (F.col("k") == F.col("k0")) & (F.col("k2") == F.col("k02")))
     gone = gone.where(F.col("later") | (F.struct("id", "rk", "line_no") != F.col("at")))
     out = cut(gone.groupBy("id", "rk").agg(F.collect_set("line_no").alias("gone")), "removals")
-    discard(lines, classes, common, hot_keys, hot, decided, later)
+    discard(lines, classes, common, doubles, hot_keys, decided, later)
     return out
 
 

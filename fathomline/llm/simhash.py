@@ -8,7 +8,8 @@ and its copies with one set bit cleared, and no pair is lost.
 
 Equal fingerprints are one entry. What a bucket holds is not paired off: first every entry is compared with the
 bucket's least fingerprint, and the components of these links are taken; then only entries of buckets that still
-hold several components are compared, across components. Both verify the complete distance.
+hold several components are compared, across components and where a quarter of their other segment is equal (three
+bits cannot change all four). Both verify the complete distance.
 
 Null or wordless texts have the fingerprint zero and link like others; texts of fewer words than a shingle are one
 shingle; repeated rows and ids fall together; an empty table gives no rows.
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, fresh, map_batches
+from .common import as_bytes, cut, fresh, map_batches, row_key
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -47,13 +48,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, other columns of type bigint, fp (the 64 bits as a signed long)."""
+    """doc_id, other columns (strings), fp (the 64 bits as a signed long)."""
 
     def run(batch: pa.RecordBatch) -> dict:
         found = np.array([fingerprint(t, shingle) for t in as_bytes(batch, text_col)], np.uint64)
         return {c: batch.column(c) for c in (id_col, *also)} | {"fp": pa.array(found.view(np.int64))}
 
-    return map_batches(docs.select(id_col, *also, text_col), run, "".join(f"{c} bigint," for c in (id_col, *also)) + "fp bigint")
+    return map_batches(docs.select(id_col, *also, text_col), run, f"{id_col} bigint," + "".join(f"{c} string," for c in also) + "fp bigint")
 
 
 def _entries(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,10 +90,16 @@ def links(distinct: DataFrame) -> DataFrame:
     labelled = met.join(first, F.col("fp") == F.col("node"), "left").select("key", "fp", "filed", F.coalesce("label", "fp").alias("label"))
     labelled = cut(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    open_ = labelled.join(mixed, "key")
-    x = open_.select("key", F.col("fp").alias("a"), F.col("label").alias("la"))
-    y = open_.where("filed").select(F.col("key").alias("key2"), F.col("fp").alias("b"), F.col("label").alias("lb"))
-    rest = x.join(y, (F.col("key") == F.col("key2")) & (F.col("la") != F.col("lb")) & _near("a", "b", DISTANCE)).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    # what a bucket still holds differs in the other segment, in DISTANCE bits at most: one of DISTANCE + 1 parts is equal
+    other = F.when(F.shiftrightunsigned("key", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    open_ = labelled.join(mixed, "key").withColumn("other", other)
+    width = 32 // (DISTANCE + 1)
+    parts = [F.shiftleft(F.lit(k).cast("bigint"), 32).bitwiseOR(F.shiftright("other", width * k).bitwiseAND(F.lit((1 << width) - 1))) for k in range(DISTANCE + 1)]
+    open_ = open_.select("key", "fp", "label", "filed", F.explode(F.array(*parts)).alias("part"))
+    x = open_.select("key", "part", F.col("fp").alias("a"), F.col("label").alias("la"))
+    y = open_.where("filed").select(F.col("key").alias("key2"), F.col("part").alias("part2"), F.col("fp").alias("b"), F.col("label").alias("lb"))
+    same = (F.col("key") == F.col("key2")) & (F.col("part") == F.col("part2"))
+    rest = x.join(y, same & (F.col("la") != F.col("lb")) & _near("a", "b", DISTANCE)).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
     second = components(rest).select(F.col("node").alias("old"), F.col("label").alias("new"))
     named = first.unionByName(second.select(F.col("old").alias("node"), F.col("old").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
     return named.join(second, F.col("label") == F.col("old"), "left").select(F.col("node").alias("fp"), F.coalesce("new", "label").alias("label"))
@@ -132,7 +139,7 @@ def take(docs: DataFrame, key: Column, marks: DataFrame, chosen: DataFrame) -> D
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One document of each component, that of the least id, with all columns; of rows with equal id and text one."""
-    key = F.xxhash64(id_col, text_col)
-    marks = cut(fingerprints(docs.select(F.col(id_col).alias("id"), key.alias("doc"), F.col(text_col).alias("text")), "doc", "text", shingle, ("id",)), "fingerprints")
+    key = row_key(id_col, text_col)
+    marks = cut(fingerprints(docs.select(F.col(id_col).alias("id"), key.alias("doc"), F.col(text_col).alias("text")), "id", "text", shingle, ("doc",)), "fingerprints")
     chosen = _classes(marks.select("fp", F.struct("id", "doc").alias("row")), ("row", F.min, "row")).select("row.*").distinct()
     return take(docs, key, marks, chosen)

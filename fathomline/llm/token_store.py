@@ -6,7 +6,8 @@ the k-th chunk of those ids that have one. A bitmap per level marks the ids that
 directory look-up and one popcount a level; no block is decoded.
 
 A segment is a self-contained byte string in the format below; segments are the rows of a Parquet table in the
-shared folder, which gives atomic, retried writes by executors and reads from any store Spark knows.
+shared folder, which gives atomic, retried writes by executors and reads from any store Spark knows. The table is not
+compressed, so that a segment's bytes lie in the file as they are.
 
     magic "FDAC1\\0", u2 chunk bits | u8 documents | u8 tokens | u8 levels
     i8 doc id x documents | u1 id is null x documents | u8 end of each document in tokens
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import load
-from .common import BATCH_ROWS, as_texts, map_batches, shared_path
+from .common import as_texts, bounded_batches, map_batches, shared_path
 
 MAGIC, CHUNK_BITS, BLOCK = b"FDAC1\0", 8, 512
 #: Tokens after which a segment is closed; one document is never split.
@@ -95,10 +96,14 @@ class Segment:
             on, place, byte, bit = on[more], place[more], byte[more], bit[more]
             if not len(on):
                 break
-            before = np.concatenate([[0], np.cumsum(_POP[bitmap], dtype=np.int64)])
-            first = place // BLOCK
-            inside = before[byte] - before[first * (BLOCK // 8)] + _POP[bitmap[byte] & ((1 << bit.astype(np.uint16)) - 1).astype(np.uint8)]
-            place = directory[first].astype(np.int64) + inside
+            first, wide = place // BLOCK, BLOCK // 8
+            if len(place) * wide <= len(bitmap):  # few places: only their blocks are read
+                ahead = np.arange(wide) < (byte % wide)[:, None]
+                inside = np.where(ahead, _POP[bitmap.reshape(-1, wide)[first]], 0).sum(axis=1, dtype=np.int64)
+            else:
+                before = np.concatenate([[0], np.cumsum(_POP[bitmap], dtype=np.int64)])
+                inside = before[byte] - before[first * wide]
+            place = directory[first].astype(np.int64) + inside + _POP[bitmap[byte] & ((1 << bit.astype(np.uint16)) - 1).astype(np.uint8)]
         return out.astype("<u4")
 
     def one(self, place: int) -> int:
@@ -123,7 +128,7 @@ _SEGMENTS = "part int,seg int,n_docs bigint,n_tokens bigint,first_token bigint,b
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
     """Encode all texts and write them as segments in ascending id order: range partition, part, segment."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(spark)
     n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +154,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, id_col: s
             yield close()
 
     dealt = docs.select(id_col, text_col).repartitionByRange(n, F.col(id_col)).sortWithinPartitions(id_col, text_col)
-    dealt.mapInArrow(run, _SEGMENTS).write.parquet(path)
+    dealt.mapInArrow(run, _SEGMENTS).write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
