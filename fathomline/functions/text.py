@@ -43,9 +43,10 @@ def shorten(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
 
 
+# Fixed values in these two: characters and runs that cleaning takes out (the carriage return stays), line breaks it joins.
 def tidy(text: Column) -> Column:
     """No control characters, no blanks at line ends, single blanks, at most one empty line."""
-    out = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    out = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
     out = F.regexp_replace(out, r"[ \t]+(\n|$)", "$1")
     out = F.regexp_replace(out, r" {2,}", " ")
     return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
@@ -71,3 +72,50 @@ def cosine(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + F.lit(1e-6))
+
+
+def strip_marks(word: Column) -> Column:
+    """A word without the punctuation around it."""
+    return F.regexp_replace(word, r"""^[.,?!()\[\]{}":;]+|[.,?!()\[\]{}":;]+$""", "")
+
+
+def display_int(value: Column) -> Column:
+    """A number that may be stored as 6.0 or as text, as an integer; null if it is none."""
+    return value.try_cast("double").try_cast("bigint")
+
+
+def leading_sentences(text: Column, budget: Column) -> Column:
+    """Sentences from the start while the sum of their tokens fits the budget; if the first does not, that many characters and `...`.
+
+    A budget of 0 or less, and an empty text, give the empty text.
+    """
+    parts = F.split(text, r"(?<=[.!?])\s+")
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+
+    def take(acc: Column, s: Column) -> Column:
+        tokens = token_count(s)
+        full = acc["full"] | (acc["used"] + tokens > budget)
+        return F.struct(F.when(full, acc["used"]).otherwise(acc["used"] + tokens).alias("used"), F.when(full, acc["n"]).otherwise(acc["n"] + 1).alias("n"), full.alias("full"))
+
+    n = F.aggregate(parts, start, take, lambda a: a["n"])
+    cut = F.substr(text, F.lit(1), (budget * 4).cast("int"))
+    return F.when((budget <= 0) | (text == ""), F.lit("")).when(n > 0, F.array_join(F.slice(parts, F.lit(1), n), " ")).otherwise(F.concat(cut, F.lit("...")))
+
+
+def truncated(value: Column, most: int = 2000) -> Column:
+    """A long text cut, with a note of its length."""
+    return F.when(F.length(value) > most, F.concat(F.substring(value, 1, most), F.lit("... [truncated, "), F.length(value).cast("string"), F.lit(" chars total]"))).otherwise(value)
+
+
+def truncated_list(values: Column, most: int = 20) -> Column:
+    """The first items of a list of strings, with a note of how many more there are."""
+    more = F.array(F.concat(F.lit("... ["), (F.size(values) - most).cast("string"), F.lit(" more]")))
+    return F.when(F.size(values) > most, F.concat(F.slice(values, 1, most), more)).otherwise(values)
+
+
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """A template with {name} replaced by a column's value; names without one stay."""
+    import re
+
+    parts = re.split(r"(\{[^}]+\})", template)
+    return F.concat(*(F.coalesce(values[p[1:-1]], F.lit("")) if p[:1] == "{" and p[1:-1] in values else F.lit(p) for p in parts if p))

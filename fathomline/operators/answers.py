@@ -65,13 +65,21 @@ def refused(is_ready: Column, action: Column, text: Column, error: Column) -> Co
     return ~is_ready | (action == "low_confidence") | F.coalesce(text.rlike(REFUSAL), F.lit(False)) | error.isNotNull()
 
 
+#: Blocks a model hides from its answer.
+_HIDDEN = (r"(?is)\[HIDE\].*?\[/HIDE\]", r"(?is)<THINK>.*?</THINK>", r"(?is)<thinking>.*?</thinking>")
+
+
 def clean(text: Column, most: int | None = None) -> Column:
-    """No hidden blocks, no rule at the end, at most one empty line; cut at a word if longer than `most`."""
-    out = F.regexp_replace(text, r"(?is)<(think|thinking|hidden)>.*?</\1>", "")
-    out = F.trim(F.regexp_replace(F.regexp_replace(out, r"\s*\n-{3,}\s*$", ""), r"\n{3,}", "\n\n"))
+    """No hidden blocks, no rule at the end, no blanks at line ends, at most two empty lines; cut at a word if longer than `most`."""
+    out = F.coalesce(text, F.lit(""))
+    for pattern in _HIDDEN:
+        out = F.regexp_replace(out, pattern, "")
+    out = F.regexp_replace(out, r"\n*---\s*$", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+(\n|$)", "$1"), r"\n{4,}", "\n\n\n")
+    out = F.regexp_replace(out, r"^\s+|\s+$", "")
     if most is None:
         return out
-    short = F.regexp_replace(F.substring(out, 1, most), r"\s+\S*$", "")
+    short = F.regexp_replace(F.substring(out, 1, most), r" [^ ]*$", "")
     return F.when(F.length(out) > most, F.concat(short, F.lit("..."))).otherwise(out)
 
 
@@ -92,6 +100,32 @@ def error_kind(message: Column) -> Column:
     return F.when(low.rlike("429|quota|rate limit"), "rate_limit").when(low.contains("timeout") | low.contains("timed out"), "timeout").when(message.isNotNull(), "error")
 
 
+def daily_quota(message: Column) -> Column:
+    """Whether a message says that a day's quota is used up: waiting seconds does not help then."""
+    return F.lower(message).rlike(r"per ?day|daily|quota.{0,40}day")
+
+
+def json_array_in(text: Column) -> Column:
+    """The outermost [...] of a model's text, without commas before a closing bracket; null if there is none."""
+    found = F.nullif(F.regexp_extract(text, r"(?s)(\[.*\])", 1), F.lit(""))
+    return F.regexp_replace(found, r",\s*([}\]])", "$1")
+
+
+#: Dimensions, prices of a million tokens and most tokens of embedding models; `hashed` is the local default.
+EMBEDDING_MODELS = {"hashed": {"dim": 64, "usd": 0.0, "max_tokens": 8191}}
+
+
+def embedding_model(name: str) -> dict:
+    if name not in EMBEDDING_MODELS:
+        raise KeyError(f"no embedding model {name!r}; known: {sorted(EMBEDDING_MODELS)}")
+    return EMBEDDING_MODELS[name]
+
+
+def score_text(value: Column) -> Column:
+    """Four digits, or n/a."""
+    return F.coalesce(F.format_number(value, 4), F.lit("n/a"))
+
+
 def retry_after(message: Column) -> Column:
     """Seconds in `retry after 12s`, `retry in 1.5 s`; null without."""
     return F.nullif(F.regexp_extract(message, r"(?i)retry (?:after|in) (\d+(?:\.\d+)?) ?s", 1), F.lit("")).cast("double")

@@ -1,62 +1,318 @@
-"""Ingestion: elements, cleaning, chunking, enrichment."""
+"""Ingestion: elements, cleaning, chunking, enrichment.
+
+A document is one row with its whole text until it is chunked, so grouping elements into pages, merging pages and
+packing sentences shuffle nothing. The greedy steps (merge, transitions, packing) run over one document's token
+counts in an Arrow-batched function, linear in their number.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions import text as T
 
 PAGE_LINES, MAX_TOKENS, SMALL_TOKENS, MAX_PAGES = 8, 512, 75, 3
+#: Element categories by their kind in a document.
+TYPES = {"Title": "title", "NarrativeText": "text", "ListItem": "list_item", "Table": "table", "Image": "image_caption", "Header": "title", "Footer": "text"}
+
+
+def element_type(category: Column) -> Column:
+    kinds = F.create_map(*(F.lit(x) for pair in TYPES.items() for x in pair))
+    return F.coalesce(F.try_element_at(kinds, category), F.lit("text"))
+
+
+def line_category(line: Column) -> Column:
+    """What a plain line most likely is: a list item by its mark, a table row by its bars or tabs, a title by `#`."""
+    return F.when(line.rlike(r"^([-*•]|[0-9]+[.)]) "), "ListItem").when(line.rlike(r"\|.*\||\t"), "Table").when(line.rlike(r"^#+ "), "Title").otherwise("NarrativeText")
+
+
+def with_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, pages: array of struct(page, parts) of pages with a non-empty line; parts: struct(elem_idx, content)."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.split(text_col, "\n").alias("lines"))
+    cut = F.transform(F.sequence(F.lit(0), F.size("lines") - 1, F.lit(PAGE_LINES)), lambda i: F.struct((F.floor(i / PAGE_LINES) + 1).cast("bigint").alias("page"), i.alias("at"), F.slice("lines", i + 1, F.lit(PAGE_LINES)).alias("lines")))
+    parts = lambda p: F.filter(F.transform(p["lines"], lambda x, k: F.struct((p["at"] + k).cast("bigint").alias("elem_idx"), F.trim(x).alias("content"))), lambda e: e["content"] != "")
+    pages = F.transform(cut, lambda p: F.struct(p["page"].alias("page"), parts(p).alias("parts")))
+    return rows.select("doc_id", F.filter(pages, lambda p: F.size(p["parts"]) > 0).alias("pages"))
 
 
 def elements(docs: DataFrame) -> DataFrame:
-    """doc_id, elem_idx, content, page, total_pages: non-empty trimmed lines, eight to a page."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("elem_idx", "raw"))
-    kept = lines.select("doc_id", "elem_idx", F.trim("raw").alias("content"), (F.floor(F.col("elem_idx") / PAGE_LINES) + 1).cast("bigint").alias("page")).where("content <> ''")
-    pages = kept.groupBy("doc_id").agg(F.max("page").alias("total_pages"))
-    return kept.join(pages, "doc_id")
+    """doc_id, elem_idx, content, page, total_pages, type: non-empty trimmed lines, eight to a page; no shuffle, also of null ids."""
+    rows = with_pages(docs).where(F.size("pages") > 0)
+    last = F.element_at("pages", -1)["page"]
+    flat = rows.select("doc_id", last.alias("total_pages"), F.explode("pages").alias("p")).select("doc_id", "total_pages", F.col("p.page").alias("page"), F.explode("p.parts").alias("e"))
+    out = flat.select("doc_id", F.col("e.elem_idx").alias("elem_idx"), F.col("e.content").alias("content"), "page", "total_pages")
+    return out.withColumn("type", element_type(line_category(F.col("content"))))
+
+
+def element_summary(parts: DataFrame) -> DataFrame:
+    """doc_id, n, kinds (type=count, sorted, comma-joined)."""
+    counts = parts.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    kinds = F.array_join(F.array_sort(F.collect_list(F.concat("type", F.lit("="), F.col("n").cast("string")))), ",")
+    return counts.groupBy("doc_id").agg(F.sum("n").alias("n"), kinds.alias("kinds"))
+
+
+# ---- cleaning ----------------------------------------------------------------------------------------------------
+
+
+def repaired(text: str) -> str:
+    """UTF-8 that was read as Windows-1252 once, read right; other text as it is."""
+    if not any(c in text for c in "ÃÂâð"):
+        return text
+    try:
+        return text.encode("cp1252").decode("utf-8")
+    except UnicodeError:
+        return text
+
+
+def normal_form(text: Column) -> Column:
+    """Encoding repaired, compatibility characters normalised (NFKC); neither has a built-in function."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: None if t is None else unicodedata.normalize("NFKC", repaired(t)))
+
+    return run(text)
+
 
+def cleaned(text: Column, ocr: bool = False) -> Column:
+    """Control characters, blanks at line ends, runs of blanks and of empty lines go; OCR line breaks are joined."""
+    out = T.tidy(normal_form(text))
+    return F.trim(T.join_broken_lines(out)) if ocr else out
 
-def clean(parts: DataFrame) -> DataFrame:
-    return parts.withColumn("content", T.tidy(F.col("content"))).where(F.length("content") >= 2)
 
+def clean(parts: DataFrame, ocr: bool = False, least: int = 2) -> DataFrame:
+    """Elements of at least `least` characters, their content cleaned; `fixed` tells where that changed something."""
+    kept = parts.where(F.length(F.trim("content")) >= least).withColumn("raw", F.col("content"))
+    return kept.withColumn("content", cleaned(F.col("content"), ocr)).withColumn("fixed", F.col("content") != F.col("raw")).drop("raw")
 
-def page_chunks(parts: DataFrame) -> DataFrame:
+
+# ---- chunking ----------------------------------------------------------------------------------------------------
+
+
+def page_chunks(docs: DataFrame) -> DataFrame:
     """doc_id, page, content (elements joined by line feeds in order), n_elements, tokens."""
-    held = parts.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("elem_idx", "content"))).alias("e"))
-    return held.select("doc_id", "page", F.array_join(F.transform("e", lambda x: x["content"]), "\n").alias("content"), F.size("e").cast("bigint").alias("n_elements")).withColumn("tokens", T.token_count(F.col("content")))
+    content = lambda p: F.array_join(F.transform(p["parts"], lambda e: e["content"]), "\n")
+    rows = with_pages(docs).select("doc_id", F.explode("pages").alias("p"))
+    return rows.select("doc_id", F.col("p.page").alias("page"), content(F.col("p")).alias("content"), F.size("p.parts").cast("bigint").alias("n_elements")).withColumn("tokens", T.token_count(F.col("content")))
+
+
+def _merged(tokens: list[int], least: int, most_pages: int) -> list[tuple[int, int]]:
+    """First page and number of pages of each chunk."""
+    out: list[list[int]] = []
+    for i, t in enumerate(tokens):
+        if out and out[-1][2] < least and out[-1][1] < most_pages:
+            out[-1][1] += 1
+            out[-1][2] += t
+        else:
+            out.append([i, 1, t])
+    if len(out) > 1 and out[-1][2] < least and out[-2][1] + out[-1][1] <= most_pages:
+        last = out.pop()
+        out[-1][1] += last[1]
+    return [(a, n) for a, n, _ in out]
+
+
+def _with_chunks(docs: DataFrame, least: int, most_pages: int) -> DataFrame:
+    """doc_id, c: array of struct(first_page, last_page, n_pages, tokens, content, element_ids).
+
+    The function is called nondeterministic so that its result is computed once and not written into what reads it.
+    """
+
+    @F.pandas_udf("array<struct<first:int,n:int>>")
+    def runs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: [{"first": a, "n": n} for a, n in _merged(list(t), least, most_pages)])
+
+    content = lambda p: F.array_join(F.transform(p["parts"], lambda e: e["content"]), "\n")
+    page = lambda p: F.struct(p["page"].alias("page"), content(p).alias("content"), F.transform(p["parts"], lambda e: e["elem_idx"]).alias("ids"))
+    rows = with_pages(docs).select("doc_id", F.transform("pages", page).alias("pages"))
+    rows = rows.withColumn("t", F.transform("pages", lambda p: T.token_count(p["content"]))).withColumn("r", runs.asNondeterministic()("t"))
+
+    def chunk(r: Column) -> Column:
+        held, tokens = F.slice("pages", r["first"] + 1, r["n"]), F.slice("t", r["first"] + 1, r["n"])
+        return F.struct(
+            F.get("pages", r["first"])["page"].alias("first_page"), F.get("pages", r["first"] + r["n"] - 1)["page"].alias("last_page"), r["n"].cast("bigint").alias("n_pages"),
+            F.aggregate(tokens, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("tokens"), F.array_join(F.transform(held, lambda x: x["content"]), "\n\n").alias("content"), F.flatten(F.transform(held, lambda x: x["ids"])).alias("element_ids"),
+        )
+
+    return rows.select("doc_id", F.transform("r", chunk).alias("c"))
+
+
+def merge_small(docs: DataFrame, least: int = SMALL_TOKENS, most_pages: int = MAX_PAGES) -> DataFrame:
+    """doc_id, i, first_page, last_page, n_pages, tokens, content, element_ids of each chunk.
+
+    A chunk absorbs the next page while it has under `least` tokens and under `most_pages` pages; a last chunk that
+    stays small joins the one before if both have no more pages than that. Contents are joined by an empty line.
+    """
+    flat = _with_chunks(docs, least, most_pages).select("doc_id", F.posexplode("c").alias("i", "x"))
+    return flat.select("doc_id", F.col("i").cast("bigint").alias("i"), "x.*")
+
+
+def _topics(tokens: list[int], most: int) -> list[int]:
+    out, total, topic = [], 0, 0
+    for i, t in enumerate(tokens):
+        total += t
+        if total >= most:
+            topic, total = topic + (i > 0), 0
+        out.append(topic)
+    return out
 
 
-def merge_small(chunks: DataFrame, least: int = SMALL_TOKENS, most_pages: int = MAX_PAGES) -> DataFrame:
-    """Pages are absorbed while the buffer has under `least` tokens and under `most_pages` pages; a small rest joins the chunk before.
+def transitions(docs: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
+    """doc_id, elem_idx, topic: a running sum of tokens; the element that takes it to `most` begins the next topic, and the sum anew."""
 
-    One ordered fold for each document, inside the JVM.
+    @F.pandas_udf("array<int>")
+    def topics(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: _topics(list(t), most))
+
+    rows = with_pages(docs).select("doc_id", F.flatten(F.transform("pages", lambda p: p["parts"])).alias("e"))
+    rows = rows.withColumn("topic", topics.asNondeterministic()(F.transform("e", lambda x: T.token_count(x["content"]))))
+    flat = rows.select("doc_id", F.explode(F.arrays_zip("e", "topic")).alias("z"))
+    return flat.select("doc_id", F.col("z.e.elem_idx").alias("elem_idx"), F.col("z.topic").cast("bigint").alias("topic"))
+
+
+def _pieces(sentences: list[str], most: int) -> list[str]:
+    """A piece ends before the sentence whose tokens, added to those of its sentences, would exceed `most`."""
+    out: list[str] = []
+    held: list[str] = []
+    used = 0
+    for s in sentences:
+        n = len(s) // 4
+        if used + n > most or n > most:
+            if held:
+                out.append(" ".join(held))
+            held, used = [], 0
+        if n > most:
+            out += [s[i : i + 4 * most].strip() for i in range(0, len(s), 4 * most)]
+        else:
+            held.append(s)
+            used += n
+    return out + ([" ".join(held)] if held else [])
+
+
+def packed(text: Column, most: int = MAX_TOKENS) -> Column:
+    """A text of more than `most` tokens as pieces of whole sentences; a longer sentence is cut every `most` tokens.
+
+    Sentences end at . ! ? before white space. (Abbreviations need no care: what shields them in a rule-based splitter
+    leaves the period outside, so it does not change where sentences end.)
     """
-    pages = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "tokens"))).alias("p"))
-    empty = "cast(array() as array<struct<first:bigint,last:bigint,tokens:bigint>>)"
-    step = f"""CASE WHEN size(a) > 0 AND element_at(a, -1).tokens < {least} AND element_at(a, -1).last - element_at(a, -1).first + 1 < {most_pages}
-      THEN concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'last', x.page, 'tokens', element_at(a, -1).tokens + x.tokens)))
-      ELSE concat(a, array(named_struct('first', x.page, 'last', x.page, 'tokens', x.tokens))) END"""
-    end = f"""CASE WHEN size(a) > 1 AND element_at(a, -1).tokens < {least}
-      THEN concat(slice(a, 1, size(a) - 2), array(named_struct('first', element_at(a, -2).first, 'last', element_at(a, -1).last, 'tokens', element_at(a, -2).tokens + element_at(a, -1).tokens)))
-      ELSE a END"""
-    merged = pages.select("doc_id", F.posexplode(F.expr(f"aggregate(p, {empty}, (a, x) -> {step}, a -> {end})")).alias("i", "m"))
-    return merged.select("doc_id", F.format_string("%d_chunk_%04d", "doc_id", "i").alias("chunk_id"), F.col("m.first").alias("first_page"), F.col("m.last").alias("last_page"), F.col("m.tokens").alias("tokens"))
-
-
-def transitions(parts: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
-    """doc_id, elem_idx, topic: a running sum of tokens that starts anew at `most`."""
-    held = parts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("elem_idx", T.token_count(F.col("content")).alias("tokens")))).alias("e"))
-    start = "named_struct('sum', 0L, 'topic', 0L, 'out', cast(array() as array<struct<elem_idx:int,topic:bigint>>))"
-    step = f"""named_struct('sum', IF(a.sum + x.tokens >= {most}, 0L, a.sum + x.tokens), 'topic', IF(a.sum + x.tokens >= {most}, a.topic + 1L, a.topic),
-      'out', concat(a.out, array(named_struct('elem_idx', x.elem_idx, 'topic', a.topic))))"""
-    return held.select("doc_id", F.explode(F.expr(f"aggregate(e, {start}, (a, x) -> {step}, a -> a.out)")).alias("o")).select("doc_id", F.col("o.elem_idx").cast("bigint").alias("elem_idx"), "o.topic")
-
-
-def prefixed(docs: DataFrame) -> DataFrame:
-    """Source prefix of known parts, each at most 50 characters, all at most 200; not added twice."""
-    part = lambda c, none: F.when(F.col(c) != none, T.shorten(F.col(c), 50))
-    head = T.shorten(F.concat_ws(" | ", part("lang", "Unknown"), part("source", "src0")), 200)
-    rows = docs.withColumn("prefix", head)
-    return rows.withColumn("enriched", F.when((F.col("prefix") == "") | F.col("text").startswith(F.col("prefix")), F.col("text")).otherwise(F.concat("prefix", F.lit("\n\n"), "text")))
+
+    @F.pandas_udf("array<string>")
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda s: None if s is None else _pieces(list(s), most))
+
+    whole = F.when(text.isNotNull(), F.array(text))
+    return F.when(T.token_count(text) > most, pieces(T.sentences(text))).otherwise(whole)
+
+
+def chunks(docs: DataFrame, least: int = SMALL_TOKENS, most_pages: int = MAX_PAGES, most: int = MAX_TOKENS) -> DataFrame:
+    """chunk_id, doc_id, first_page, last_page, chunk_type, content, tokens, parent_chunk_id, element_ids of whole documents.
+
+    Pages are merged, oversize chunks split at sentences, and ids (`1_chunk_0000`) dealt after that; the parts of a
+    split chunk name their parent by its place before the split. All within the document's row.
+    """
+
+    @F.pandas_udf("array<struct<i:int,split:boolean,piece:string>>")
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda texts: [{"i": i, "split": len(t) // 4 > most, "piece": p} for i, t in enumerate(texts) for p in (_pieces(_sentences(t), most) if len(t) // 4 > most else [t])])
+
+    rows = _with_chunks(docs, least, most_pages)
+    flat = rows.select("doc_id", "c", F.posexplode(split(F.transform("c", lambda x: x["content"]))).alias("n", "p"))
+    name, of = F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.get("c", F.col("p.i"))
+    parent = F.when(F.col("p.split"), F.concat(name, F.lit("_"), F.lpad(F.col("p.i").cast("string"), 4, "0"))).otherwise("")
+    return flat.select(
+        F.format_string("%s_chunk_%04d", name, "n").alias("chunk_id"), "doc_id", of["first_page"].alias("first_page"), of["last_page"].alias("last_page"), F.when(F.col("p.split"), "slide_split").otherwise("slide").alias("chunk_type"),
+        F.col("p.piece").alias("content"), T.token_count(F.col("p.piece")).alias("tokens"), parent.alias("parent_chunk_id"), of["element_ids"].alias("element_ids"),
+    )
+
+
+def _sentences(text: str) -> list[str]:
+    return [s for s in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+", text) if s.strip()]
+
+
+# ---- metadata and enrichment -------------------------------------------------------------------------------------
+
+
+def metadata_sample(docs: DataFrame, most: int = 4000, label: str = "Page") -> DataFrame:
+    """doc_id, sample: the text from the start with a mark at every page, at most `most` characters."""
+    content = lambda p: F.array_join(F.transform(p["parts"], lambda e: e["content"]), "\n")
+    marked = F.transform("pages", lambda p: F.concat(F.lit(f"\n[{label} "), p["page"].cast("string"), F.lit("]\n"), content(p)))
+    return with_pages(docs).select("doc_id", F.substring(F.array_join(marked, "\n"), 1, most).alias("sample"))
+
+
+def metadata_from(said: Column, name: Column) -> Column:
+    """struct of a document's metadata from a model's JSON; what is missing or no JSON becomes the sentinel values."""
+    from fathomline.operators.answers import json_in
+
+    body = json_in(said)
+    get = lambda key: F.get_json_object(body, f"$.{key}")
+    topics = F.from_json(get("key_topics"), "array<string>")
+    failed = F.concat(F.lit("Document: "), name)
+    return F.struct(
+        F.coalesce(get("course_name"), F.lit("Unknown")).alias("course_name"), F.coalesce(get("chapter_title"), F.lit("Unknown")).alias("chapter_title"),
+        F.when(body.isNull(), failed).otherwise(F.coalesce(get("global_context"), F.lit("No context available."))).alias("global_context"), F.coalesce(get("subject_area"), F.lit("Unknown")).alias("subject_area"),
+        F.coalesce(topics, F.array().cast("array<string>")).alias("key_topics"), F.coalesce(get("confidence").try_cast("double"), F.lit(0.0)).alias("extraction_confidence"),
+    )
+
+
+def topic_labels(said: Column, n: Column) -> Column:
+    """n labels from a model's JSON array: missing ones are General, the rest is cut."""
+    body = F.nullif(F.regexp_extract(said, r"(?s)(\[.*\])", 1), F.lit(""))
+    found = F.coalesce(F.from_json(body, "array<string>"), F.array().cast("array<string>"))
+    return F.slice(F.concat(found, F.array_repeat(F.lit("General"), F.greatest(n - F.size(found), F.lit(0)))), F.lit(1), n)
+
+
+def source_prefix(course: Column, chapter: Column, first: Column, last: Column, topic: Column, slides: Column) -> Column:
+    """`[Course: .. | Chapter: .. | Pages: 1-2 | Topic: ..]` of the known parts, each of at most 50 characters, in all 200."""
+    part = lambda label, c, none: F.when(F.coalesce(c, F.lit("")).isin("", none), None).otherwise(F.concat(F.lit(f"{label}: "), T.shorten(c, 50)))
+    span = F.when(first.eqNullSafe(last), first.cast("string")).otherwise(F.concat_ws("-", first.cast("string"), last.cast("string")))
+    where = F.concat(F.when(slides, "Slides: ").otherwise("Pages: "), span)
+    whole = F.concat(F.lit("["), F.concat_ws(" | ", part("Course", course, "Unknown"), part("Chapter", chapter, "Unknown"), where, part("Topic", topic, "General")), F.lit("]"))
+    return F.when(F.length(whole) > 200, F.concat(F.substring(whole, 1, 197), F.lit("...]"))).otherwise(whole)
+
+
+def enriched(content: Column, prefix: Column) -> Column:
+    """The prefix on a line before the content, once."""
+    return F.when(F.coalesce(prefix, F.lit("")) == "", content).when(content.startswith(prefix), content).otherwise(F.concat(prefix, F.lit("\n"), content))
+
+
+#: What a chunk's stored metadata holds.
+METADATA = (
+    "chunk_id", "content", "raw_content", "filename", "file_type", "topic", "page_start", "page_end", "course_name", "chapter_title", "subject_area", "global_context", "key_topics",
+    "parent_chunk_id", "chunk_type", "token_count", "source_prefix", "enrichment_version", "metadata_version",
+)
+
+
+def to_metadata(rows: DataFrame) -> DataFrame:
+    """The metadata columns, and the category where rows have one."""
+    return rows.select(*METADATA, *(["document_category"] if "document_category" in rows.columns else []))
+
+
+def issues(rows: DataFrame) -> DataFrame:
+    """chunk_id, issue of enriched chunks (chunk_id, content, tokens, course, chapter, first_page, last_page, prefix): errors and warnings."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    content = F.coalesce("content", F.lit(""))
+    checks = [
+        (blank("chunk_id"), "error: no id"), (F.length(F.trim(content)) < 10, "error: too short"), (blank("prefix"), "error: no prefix"),
+        (F.col("tokens") == 0, "warning: no tokens"), ((F.col("course") == "Unknown") & (F.col("chapter") == "Unknown"), "warning: nothing known"),
+        ((F.col("first_page") == 0) & (F.col("last_page") == 0), "warning: no pages"), (~blank("prefix") & ~content.startswith(F.col("prefix")), "warning: prefix not at the start"),
+    ]
+    return rows.select("chunk_id", F.explode(F.array_compact(F.array(*(F.when(c, m) for c, m in checks)))).alias("issue"))
+
+
+def embedded(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """id, embedding, failed: texts over the limit of tokens or without a word are flagged, not dropped."""
+    from fathomline.functions import vectors as V
+
+    fits = T.token_count(F.coalesce("text", F.lit(""))) <= most
+    vectors = V.embed(rows.where(fits), id_col, F.col("text")).withColumnRenamed("vec_id", "of")
+    return rows.select(id_col).join(vectors, F.col(id_col) == F.col("of"), "left").select(id_col, "embedding", F.col("embedding").isNull().alias("failed"))

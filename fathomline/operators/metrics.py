@@ -41,6 +41,21 @@ def rolling(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("user_id", "id", F.row_number().over(w).alias("i"), F.avg("total_time_ms").over(w.rowsBetween(-(width - 1), 0)).alias("rolling_ms"), F.sum("total_time_ms").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total_ms"))
 
 
+def rolling_tenth(rows: DataFrame) -> DataFrame:
+    """The rolling mean over a tenth of each user's requests, at least three: a width that differs by user.
+
+    A frame cannot be as wide as a column says, so the mean is the difference of two running sums, `width` rows apart.
+    """
+    w = Window.partitionBy("user_id").orderBy("ts", "id")
+    total = F.sum("total_time_ms").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    width = F.greatest(F.lit(3), F.floor(F.count(F.lit(1)).over(Window.partitionBy("user_id")) / 10)).cast("int")
+    marked = rows.withColumn("i", F.row_number().over(w)).withColumn("run", total).withColumn("width", width)
+    back = marked.select(F.col("user_id").alias("of"), (F.col("i") + F.col("width")).alias("at"), F.col("run").alias("earlier"))
+    joined = marked.join(back, (F.col("user_id") == F.col("of")) & (F.col("i") == F.col("at")), "left")
+    held = F.least(F.col("i"), F.col("width"))
+    return joined.select("user_id", "id", "i", ((F.col("run") - F.coalesce("earlier", F.lit(0.0))) / held).alias("rolling_ms"))
+
+
 def incidents(rows: DataFrame) -> DataFrame:
     """Runs of flagged requests of each user: from, to, length."""
     w = Window.partitionBy("user_id").orderBy("ts", "id")

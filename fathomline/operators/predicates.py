@@ -13,6 +13,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Operators that a field type allows.
 _EQUAL, _ORDER, _SET = ("$eq", "$ne", "$exists"), ("$gt", "$gte", "$lt", "$lte"), ("$in", "$nin")
@@ -100,3 +101,32 @@ def build(schema: dict[str, Field], spec: dict[str, Any], strict: bool = False,
 def from_template(schema: dict[str, Field], template: dict[str, str], values: dict[str, Any], strict: bool = False) -> Built:
     """A template names the operator of each field; fields without a value are left out."""
     return combine([simple(schema, n, values[n], op, strict) for n, op in template.items() if n in values])
+
+
+#: Filter keys an agent's plan may not set.
+AGENT_MAY_NOT = ("subject", "chapter", "course")
+
+
+def full(schema: dict[str, Field], preset: dict[str, Any], additional: dict[str, Any] | None = None, templates: dict[str, dict[str, str]] | None = None, values: dict[str, Any] | None = None, strict: bool = False, without: tuple[str, ...] = ()) -> Built:
+    """Everything a retrieval filters by: a preset's filters, additional ones, and the templates that are named among the values."""
+    named = [t for name, t in (templates or {}).items() if (values or {}).get(name)]
+    parts = [build(schema, preset, strict), build(schema, additional or {}, strict, without), *(from_template(schema, t, values or {}, strict) for t in named)]
+    return combine(parts)
+
+
+def schema_of(fields_: StructType | str, names: dict[str, str] | None = None) -> dict[str, Field]:
+    """Fields of a table's schema, under names of their own where given."""
+    kinds = {"string": "string", "boolean": "boolean", "date": "date", "timestamp": "timestamp", "double": "number", "float": "number"}
+    struct = StructType.fromDDL(fields_) if isinstance(fields_, str) else fields_
+    own = {column: name for name, column in (names or {}).items()}
+    out = {}
+    for f in struct.fields:
+        simple_name = f.dataType.simpleString()
+        kind = "list" if simple_name.startswith("array") else "number" if simple_name.startswith("decimal") else kinds.get(simple_name, "integer")
+        out[own.get(f.name, f.name)] = Field(kind, f.name)
+    return out
+
+
+def fields(schema: dict[str, Field]) -> list[tuple[str, str, str]]:
+    """name, kind, column of every field, by name."""
+    return sorted((n, f.kind, f.column or n) for n, f in schema.items())

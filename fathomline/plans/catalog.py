@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import text as T
 from fathomline.operators import context, ingest, metrics, predicates, search
-from fathomline.operators import queries as understanding
-from fathomline.sources.tables import read, upsert
+from fathomline.sources.tables import read, spread, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -37,7 +36,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("parent_id", F.when(F.col("chunk_id") % 4 == 0, F.concat(F.lit("g"), F.col("section").cast("string"))).otherwise(""))
 
 
-_NEAR = """near AS (SELECT q.vec_id query_id, v.vec_id, v.label, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) + 1e-6) score
+_NEAR = """near AS (SELECT q.vec_id query_id, v.vec_id, v.label, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) + 1e-6), 9) score
  FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
  top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM near QUALIFY rank <= 20)"""
 _CAND = f"""WITH {_NEAR}, base AS (SELECT query_id, vec_id chunk_id, round(score, 5) score, label::BIGINT AS section FROM top),
@@ -53,12 +52,7 @@ def _m(spark, d):
 
 
 def _e(spark, d):
-    return ingest.elements(read(spark, d, "documents").where("text is not null"))
-
-
-@query(_E + ", p AS (SELECT doc_id, max(page) total_pages FROM e GROUP BY 1) SELECT e.doc_id, elem_idx, content, page, total_pages FROM e JOIN p USING (doc_id)")
-def s3_elements(spark, d):
-    return _e(spark, d).select("doc_id", F.col("elem_idx").cast("bigint").alias("elem_idx"), "content", "page", "total_pages")
+    return ingest.elements(spread(read(spark, d, "documents")))
 
 
 @query("""WITH b AS (SELECT c_custkey, c_acctbal, c_custkey % 7 version, 0 side FROM customer UNION ALL SELECT c_custkey, c_acctbal + 1, c_custkey % 5, 1 FROM customer WHERE c_custkey % 2 = 0)
@@ -122,7 +116,7 @@ _BM = """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N
 @query(_BM + " SELECT query_id, doc_id, round(score, 3) score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) rank FROM h WHERE score > 0 QUALIFY rank <= 10")
 def r3_bm25(spark, d):
     q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.bm25(read(spark, d, "documents"), q, 10).select("query_id", "doc_id", F.round("score", 3).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return search.bm25(spread(read(spark, d, "documents")), q, 10).select("query_id", "doc_id", F.round("score", 3).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(_CAND + """, w AS (SELECT *, round(score * CASE source WHEN 'semantic' THEN 0.7 ELSE 0.3 END, 8) ws FROM cand),
@@ -161,16 +155,6 @@ def w11_round_robin(spark, d):
     return rows.select("query_id", "chunk_id", "section", F.col("turn").cast("bigint").alias("turn"), F.col("place").cast("bigint").alias("place"))
 
 
-@query(_CAND + """, s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) rank FROM cand WHERE source = 'semantic'), z AS (SELECT *, score - lead(score) OVER (PARTITION BY query_id ORDER BY rank) fall FROM s),
- f AS (SELECT query_id, count(*) n, least(1, avg(score) FILTER (rank <= 5)) rs, coalesce(max(fall) FILTER (rank < 5), 0) fall, count(DISTINCT section) sec, count(DISTINCT source) src FROM z GROUP BY 1),
- c AS (SELECT query_id, round(0.3 * rs + 0.15 * CASE WHEN n < 2 THEN 0.5 WHEN fall >= 0.3 THEN 0.9 WHEN fall <= 0.1 THEN 0.3 ELSE 0.3 + (fall - 0.1) / 0.2 * 0.6 END + 0.15 * CASE WHEN n <= 1 THEN 0.5 ELSE least(1, sec / 4) END
-  + 0.15 * least(1, least(5, n) / least(n, 10)) + 0.1 * 0.5 + 0.1 * 0.3 + 0.05 * src / 3, 4) confidence FROM f)
- SELECT query_id, confidence, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM c""")
-def c11_confidence(spark, d):
-    ranked = search.top_k(_candidates(spark, d).where("source = 'semantic'"), ["query_id"], 20, F.col("score").desc(), F.col("chunk_id"))
-    return context.confidence(ranked).select("query_id", "confidence", "level")
-
-
 @query(_M + " SELECT env, count(*) n, round(quantile_cont(total_time_ms, 0.5), 4) p50, round(quantile_cont(total_time_ms, 0.95), 4) p95, round(avg(refused), 6) refused_rate, round(avg(hit), 6) hit_rate FROM m GROUP BY 1")
 def a9_kpis(spark, d):
     k = metrics.kpis(_m(spark, d), "env")
@@ -209,11 +193,6 @@ def a19_rate_usage(spark, d):
     return metrics.usage(_m(spark, d)).select("id", "user_id", "requests", F.round("used", 4).alias("used"))
 
 
-@query(_M + """ SELECT user_id, id, row_number() OVER w i, round(avg(total_time_ms) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 7) rolling_ms, round(sum(total_time_ms) OVER (w ROWS UNBOUNDED PRECEDING), 3) total_ms FROM m WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)""")
-def w1_w3_rolling(spark, d):
-    return metrics.rolling(_m(spark, d), 10).select("user_id", "id", F.col("i").cast("bigint").alias("i"), F.round("rolling_ms", 7).alias("rolling_ms"), F.round("total_ms", 3).alias("total_ms"))
-
-
 @query(_M + """, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) i FROM m), f AS (SELECT *, i - row_number() OVER (PARTITION BY user_id ORDER BY ts, id) island FROM n WHERE refused = 1)
  SELECT user_id, min(i) first_i, max(i) last_i, count(*) length FROM f GROUP BY user_id, island""")
 def w4_incidents(spark, d):
@@ -225,41 +204,6 @@ def w17_every_nth(spark, d):
     return metrics.sampled(_m(spark, d), 5).select("id", "user_id", "nth")
 
 
-@query("""WITH t AS (SELECT *, CASE WHEN role = 'assistant' THEN nullif(regexp_extract(text, '(?:^|[^\\p{L}\\p{N}_])(\\p{Lu}\\p{L}{3,})', 1), '') END c FROM conversations)
- SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) held, last_value(c IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) last_concept FROM t""")
-def w13_w15_conversation_state(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    concept = F.when(F.col("role") == "assistant", F.nullif(F.regexp_extract("text", r"(?:^|[^\p{L}\p{N}_])(\p{Lu}\p{L}{3,})", 1), F.lit("")))
-    rows = read(spark, d, "conversations").withColumn("c", concept)
-    return rows.select("conv_id", "turn", F.count(F.lit(1)).over(w.rowsBetween(-19, 0)).alias("held"), F.last("c", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("last_concept"))
-
-
-@query()
-def p1_p9_understanding(spark, d):
-    return understanding.route(understanding.with_state(read(spark, d, "conversations"))).select("conv_id", "turn", "intent", "self_contained", "route")
-
-
-@query(_E + ", t AS (SELECT doc_id, page, string_agg(content, chr(10) ORDER BY elem_idx) content, count(*) n_elements FROM e GROUP BY 1, 2) SELECT doc_id, page, md5(content) content_md5, n_elements, (length(content) // 4)::BIGINT tokens FROM t")
-def i8_page_chunks(spark, d):
-    return ingest.page_chunks(_e(spark, d)).select("doc_id", "page", F.md5("content").alias("content_md5"), "n_elements", "tokens")
-
-
-@query()
-def i9_merge_small(spark, d):
-    return ingest.merge_small(ingest.page_chunks(_e(spark, d)))
-
-
-@query()
-def i11_transitions(spark, d):
-    return ingest.transitions(_e(spark, d))
-
-
-@query("""WITH p AS (SELECT doc_id, text, concat_ws(' | ', CASE WHEN lang <> 'Unknown' THEN lang END, CASE WHEN source <> 'src0' THEN source END) prefix FROM documents)
- SELECT doc_id, prefix, md5(CASE WHEN prefix = '' OR starts_with(text, prefix) THEN text ELSE prefix || chr(10) || chr(10) || text END) enriched_md5 FROM p""")
-def i16_source_prefix(spark, d):
-    return ingest.prefixed(read(spark, d, "documents")).select("doc_id", "prefix", F.md5("enriched").alias("enriched_md5"))
-
-
 @query(_E + ", t AS (SELECT *, sum(length(content) // 4) OVER (PARTITION BY doc_id ORDER BY elem_idx ROWS UNBOUNDED PRECEDING)::BIGINT running FROM e) SELECT doc_id, elem_idx, running FROM t WHERE running <= 200")
 def k7_token_budget(spark, d):
     rows = _e(spark, d).withColumn("tokens", T.token_count(F.col("content")))
@@ -272,28 +216,6 @@ def u5_repeated_lines(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(context.drop_repeated_lines(F.col("text"))).alias("text_md5"))
 
 
-@query("""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
-def j14_containment(spark, d):
-    """Passages that stand in documents verbatim. A stated query set (the benchmark) against all rows."""
-    b = read(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    docs = read(spark, d, "documents")
-    if b.count() <= 100_000:
-        b = F.broadcast(b)
-    return docs.join(b, docs.text.contains(F.col("passage"))).select("item_id", "doc_id")
-
-
-@query("""WITH c AS (SELECT o_orderkey cite_id, o_orderstatus course, o_orderpriority chapter, o_custkey % 40 AS first, o_custkey % 40 + 1 AS last FROM orders), k AS (SELECT p_partkey chunk_id, CASE p_size % 3 WHEN 0 THEN 'o' WHEN 1 THEN 'f' ELSE 'p' END course, CASE p_size % 2 WHEN 0 THEN '1-URGENT' ELSE '2-HIGH' END chapter, p_size AS start, p_size + 5 AS stop FROM part WHERE p_size <= 40),
- j AS (SELECT cite_id, chunk_id, CASE WHEN first >= start AND last <= stop THEN 0 ELSE 1 END::BIGINT tier FROM c JOIN k ON lower(c.course) = lower(k.course) AND lower(c.chapter) = lower(k.chapter))
- SELECT cite_id, chunk_id, tier FROM j QUALIFY row_number() OVER (PARTITION BY cite_id ORDER BY tier, chunk_id) = 1""")
-def j7_j8_interval_match(spark, d):
-    o, p = read(spark, d, "orders"), read(spark, d, "part").where("p_size <= 40")
-    cites = o.select(F.col("o_orderkey").alias("cite_id"), F.col("o_orderstatus").alias("course"), F.col("o_orderpriority").alias("chapter"), (F.col("o_custkey") % 40).alias("first"), (F.col("o_custkey") % 40 + 1).alias("last"))
-    course = F.when(F.col("p_size") % 3 == 0, "o").when(F.col("p_size") % 3 == 1, "f").otherwise("p")
-    # of chunks with one range the first wins in any case: the join meets few rows a key
-    chunks = p.groupBy(course.alias("course"), F.when(F.col("p_size") % 2 == 0, "1-URGENT").otherwise("2-HIGH").alias("chapter"), F.col("p_size").alias("start"), (F.col("p_size") + 5).alias("end")).agg(F.min("p_partkey").alias("chunk_id"))
-    return context.match_citations(cites, chunks)
-
-
 @query("""SELECT c_mktsegment, n_name, count(*) n, round(sum(o_totalprice), 2) total FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""")
 def j15_denormalise(spark, d):
     c, n, o = (read(spark, d, x) for x in ("customer", "nation", "orders"))
@@ -305,19 +227,15 @@ def t3_keywords(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(T.keywords(F.col("text"))).cast("bigint").alias("n_keywords"))
 
 
-@query("""SELECT o_orderkey, '[' || concat_ws(' | ', o_orderstatus, 'Unknown', CASE WHEN o_custkey % 3 = 0 THEN 'N/A' WHEN o_custkey % 3 = 1 THEN 'Page ' || (o_custkey % 10) ELSE 'Page ' || (o_custkey % 10) || '-' || (o_custkey % 10 + 2) END) || ']' citation FROM orders""")
-def x2_citations(spark, d):
-    first = F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey") % 10)
-    last = F.when(F.col("o_custkey") % 3 == 2, F.col("o_custkey") % 10 + 2)
-    return read(spark, d, "orders").select("o_orderkey", context.citation(F.col("o_orderstatus"), F.lit(None).cast("string"), first, last).alias("citation"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r3_bm25(spark, sf_dir)
+    """Hybrid retrieval of every benchmark passage over the documents."""
+    from fathomline.plans import ranking
+
+    return ranking.r11_hybrid_search(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    from fathomline.plans import further  # noqa: F401, registers its queries here
+    from fathomline.plans import dialogue, further, generation, ingestion, ranking, storage  # noqa: F401, they register their queries here
 
     return dict(_QUERIES)
 

@@ -103,20 +103,6 @@ def a2_cleaning_report(spark, d):
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("dropped"), F.round(F.try_divide(100.0 * F.count_if(short), F.count(F.lit(1))), 4).alias("percent"))
 
 
-@query("SELECT lang, sum(length(coalesce(text, '')) // 4)::BIGINT tokens, round(avg(length(coalesce(text, '')) // 4), 4) mean_tokens, count(DISTINCT CASE WHEN source <> 'src0' THEN source END) sources, min(n_chars) least, max(n_chars) most FROM documents GROUP BY 1")
-def a3_enrichment_summary(spark, d):
-    tokens = T.token_count(F.coalesce("text", F.lit("")))
-    return read(spark, d, "documents").groupBy("lang").agg(F.sum(tokens).alias("tokens"), F.round(F.avg(tokens), 4).alias("mean_tokens"), F.countDistinct(F.when(F.col("source") != "src0", F.col("source"))).alias("sources"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
-
-
-@query("""WITH i AS (SELECT unnest(list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'error: empty' END, CASE WHEN length(coalesce(text, '')) // 4 > 512 THEN 'error: too long' END, CASE WHEN lang IS NULL THEN 'warning: no language' END, CASE WHEN source = 'src0' THEN 'warning: unknown source' END], lambda x: x IS NOT NULL)) issue FROM documents)
- SELECT issue, count(*) n FROM i GROUP BY 1""")
-def a5_validation_report(spark, d):
-    text = F.coalesce("text", F.lit(""))
-    checks = [(F.trim(text) == "", "error: empty"), (T.token_count(text) > 512, "error: too long"), (F.col("lang").isNull(), "warning: no language"), (F.col("source") == "src0", "warning: unknown source")]
-    return read(spark, d, "documents").select(F.explode(F.array_compact(F.array(*(F.when(c, m) for c, m in checks)))).alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("WITH f AS (SELECT label::BIGINT AS namespace, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) i FROM embeddings WHERE vec_id % 7 = 0) SELECT namespace, count(*) failed, array_to_string(list(vec_id ORDER BY vec_id) FILTER (i <= 10), ',') first_failed FROM f GROUP BY 1")
 def a6_embedding_summary(spark, d):
     failed = read(spark, d, "embeddings").where("vec_id % 7 = 0").select(F.col("label").cast("bigint").alias("namespace"), "vec_id")
@@ -178,12 +164,6 @@ def t21_date_range(spark, d):
     return read(spark, d, "events").where(day.between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-12").cast("date"))).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, md5(trim('Answer ' || props)) AS cleaned FROM events")
-def t11_answer_cleaning(spark, d):
-    text = F.concat(F.lit("<think>plan\nmore</think>Answer "), F.col("props"), F.lit("\n\n---\n"))
-    return read(spark, d, "events").select("event_id", F.md5(answers.clean(text)).alias("cleaned"))
-
-
 @query(f"""WITH p AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) context FROM conversations), k AS (SELECT conv_id, turn, context, {_KEYWORDS.format('text')} w FROM p WHERE role = 'assistant'),
  r AS (SELECT conv_id, turn, CASE WHEN len(w) > 0 AND context IS NOT NULL THEN len(list_filter(w, lambda x: contains(lower(context), x))) / len(w) ELSE 0 END ratio FROM k) SELECT conv_id, turn, round(ratio, 6) ratio, ratio >= 0.3 grounded, round(least(1.0, ratio / 0.3), 6) confidence FROM r""")
 def t13_grounding(spark, d):
@@ -199,37 +179,11 @@ def t14_json_from_text(spark, d):
     return read(spark, d, "events").select("event_id", F.get_json_object(answers.json_in(said), "$.k").cast("bigint").alias("k"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'timeout' END kind, CASE event_id % 3 WHEN 0 THEN (event_id % 60)::DOUBLE END wait FROM events")
-def t17_retry_after(spark, d):
-    message = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("429: retry after "), (F.col("event_id") % 60).cast("string"), F.lit("s"))).when(F.col("event_id") % 3 == 1, "Timeout while reading")
-    return read(spark, d, "events").select("event_id", answers.error_kind(message).alias("kind"), answers.retry_after(message).alias("wait"))
-
-
 @query("WITH w AS (SELECT doc_id id, unnest(" + _WORDS.format("text") + ") w FROM documents) SELECT id, (('0x' || substr(md5(w), 1, 4))::INT % 64)::BIGINT dim, count(*) n FROM w GROUP BY 1, 2")
 def t19_hashed_vectors(spark, d):
     return answers.get_provider("embedding", "hashed")(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("SELECT event_id, substr(props, 1, 5) payload FROM events")
-def t23_payload(spark, d):
-    return read(spark, d, "events").select("event_id", answers.payload(F.col("props"), 5).alias("payload"))
-
-
-_SECTIONS = [("definition", r"\b(is a|means)\b"), ("example", r"\bexample\b"), ("numbers", r"[0-9]{3}")]
-
-
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\b(is a|means)\\b') THEN 'definition' WHEN regexp_matches(text, '(?i)\\bexample\\b') THEN 'example' WHEN regexp_matches(text, '[0-9]{3}') THEN 'numbers' ELSE 'general' END section FROM documents")
-def x1_sections(spark, d):
-    return read(spark, d, "documents").select("doc_id", assembly.section(F.col("text"), _SECTIONS).alias("section"))
-
-
-@query()
-def x7_x8_context(spark, d):
-    v = search.top_k(search.bm25(read(spark, d, "documents"), read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5), ["query_id"], 5, F.col("score").desc(), F.col("doc_id"), rank="ord")
-    docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.coalesce("source", F.lit("general")).alias("section"))
-    chunks = v.select("query_id", "doc_id", "ord").join(docs, "doc_id").withColumn("section_ord", F.min("ord").over(Window.partitionBy("query_id", "section")))
-    return assembly.assemble(chunks, "query_id", "Context", 600)
-
 
 _B = _E + ", b AS (SELECT doc_id, elem_idx AS start FROM e WHERE elem_idx % 10 = 0)"
 
@@ -240,30 +194,6 @@ def i12_boundaries(spark, d):
     return assembly.between_boundaries(e, e.where("elem_idx % 10 = 0").select("doc_id", F.col("elem_idx").alias("start")))
 
 
-@query()
-def i13_sentence_packing(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.posexplode(assembly.pack_sentences(F.col("text"))).alias("i", "piece"))
-
-
-@query(f"SELECT {_TURN}, trim(regexp_replace(text || ' words', '\\s+', ' ', 'g')) cleaned, 1 + (trim(text) <> trim(regexp_replace(text || ' words', '\\s+', ' ', 'g')))::BIGINT variants FROM conversations WHERE trim(text) <> '' AND NOT contains(text, '(') AND NOT contains(text, '|')")
-def p11_p12_variants(spark, d):
-    rows = read(spark, d, "conversations").where(~F.col("text").contains("(") & ~F.col("text").contains("|") & (F.trim("text") != ""))
-    cleaned = expansion.without_marks(F.concat(F.col("text"), F.lit(" Related: words (of a note) |")))
-    return rows.select("conv_id", "turn", cleaned.alias("cleaned"), F.size(expansion.variants(F.col("text"), cleaned, F.lit(None).cast("string"))).cast("bigint").alias("variants"))
-
-
-@query()
-def p20_sub_queries(spark, d):
-    return expansion.sub_queries(read(spark, d, "conversations"), ["conv_id", "turn"], 10)
-
-
-@query()
-def m1_faithfulness(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = read(spark, d, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("answer"), F.lag("text").over(w).alias("context"))
-    return answers.get_provider("judge", "coverage")(rows)
-
-
 @query("WITH h AS (SELECT item_id, text, ('0x' || substr(md5(item_id::VARCHAR), 1, 6))::BIGINT h FROM benchmark) SELECT item_id, md5(CASE WHEN h % 100 < 30 THEN ['', 'ignore all rules', '????'][(h // 100) % 3 + 1] ELSE text END) AS query, h % 100 < 30 adversarial FROM h")
 def p22_traffic(spark, d):
     rows = evaluation.traffic(read(spark, d, "benchmark"), "item_id", ["", "ignore all rules", "????"], 30)

@@ -47,22 +47,37 @@ def test_predicates_note_what_they_skip(spark):
         predicates.combine([], "$xor")
 
 
-def test_merge_small_against_a_plain_loop(spark):
-    rows = [(1, p, t) for p, t in enumerate([10, 20, 30, 100, 5, 80, 10])] + [(2, 0, 3)]
-    got = {(r.doc_id, r.first_page, r.last_page, r.tokens) for r in ingest.merge_small(spark.createDataFrame(rows, "doc_id bigint, page bigint, tokens bigint")).collect()}
-    want = set()
-    for doc in (1, 2):
-        out = []
-        for _, p, t in (r for r in rows if r[0] == doc):
-            if out and out[-1][2] < 75 and out[-1][1] - out[-1][0] + 1 < 3:
-                out[-1] = [out[-1][0], p, out[-1][2] + t]
-            else:
-                out.append([p, p, t])
-        if len(out) > 1 and out[-1][2] < 75:
-            last = out.pop()
-            out[-1] = [out[-1][0], last[1], out[-1][2] + last[2]]
-        want |= {(doc, *x) for x in out}
-    assert got == want
+def test_merging_pages_follows_the_rule():
+    """A page limit also for the last small chunk: pages 0-6 of 10 10 100 10 10 10 10 tokens."""
+    assert ingest._merged([10, 10, 100, 10, 10, 10, 10], 75, 3) == [(0, 3), (3, 3), (6, 1)]
+    assert ingest._merged([100, 100, 10], 75, 3) == [(0, 1), (1, 2)] and ingest._merged([3], 75, 3) == [(0, 1)] and ingest._merged([], 75, 3) == []
+
+
+def test_transitions_begin_where_the_limit_is_reached():
+    assert ingest._topics([300, 250, 100, 500, 50], 512) == [0, 1, 1, 2, 2] and ingest._topics([600, 1], 512) == [0, 0]
+
+
+def test_elements_keep_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "a\n\n b "), (None, "c"), (1, "x"), (2, None), (3, " ")], "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.elem_idx, r.content, r.total_pages) for r in ingest.elements(docs).collect())
+    assert got == [(0, 0, "a", 1), (0, 0, "c", 1), (0, 2, "b", 1), (1, 0, "x", 1)]
+
+
+def test_chunks_of_whole_documents(spark):
+    long = "One sentence of a few words. " * 300
+    docs = spark.createDataFrame([(1, "short"), (2, long), (None, "none"), (None, long)], "doc_id bigint, text string")
+    got = ingest.chunks(docs).collect()
+    assert {r.chunk_id for r in got if r.doc_id == 1} == {"1_chunk_0000"}
+    parts = [r for r in got if r.doc_id == 2]
+    assert len(parts) > 4 and all(r.tokens <= 512 and r.chunk_type == "slide_split" and r.parent_chunk_id == "2_0000" for r in parts)
+    assert len([r for r in got if r.doc_id is None]) == len(parts) + 1
+
+
+def test_cleaning(spark):
+    assert ingest.repaired("cafÃ©") == "café" and ingest.repaired("café Ã") == "café Ã"
+    df = spark.createDataFrame([(1, 0, "ﬁne  text\x07 "), (1, 1, "x"), (1, 2, "a bro-\nken, line\nhere")], "doc_id bigint, elem_idx bigint, content string")
+    got = {r.elem_idx: (r.content, r.fixed) for r in ingest.clean(df, ocr=True).collect()}
+    assert got == {0: ("fine text", True), 2: ("a bro-\nken, line here", True)}
 
 
 def test_text_functions(spark):
