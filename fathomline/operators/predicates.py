@@ -114,10 +114,9 @@ def full(schema: dict[str, Field], preset: dict[str, Any], additional: dict[str,
     return combine(parts)
 
 
-def schema_of(fields_: StructType | str, names: dict[str, str] | None = None) -> dict[str, Field]:
+def schema_of(struct: StructType, names: dict[str, str] | None = None) -> dict[str, Field]:
     """Fields of a table's schema, under names of their own where given."""
     kinds = {"string": "string", "boolean": "boolean", "date": "date", "timestamp": "timestamp", "double": "number", "float": "number"}
-    struct = StructType.fromDDL(fields_) if isinstance(fields_, str) else fields_
     own = {column: name for name, column in (names or {}).items()}
     out = {}
     for f in struct.fields:

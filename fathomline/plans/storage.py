@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from fathomline.functions import text as T
 from fathomline.operators import predicates
@@ -11,7 +12,8 @@ from fathomline.sources import tables
 from fathomline.sources.tables import read
 from fathomline.streaming import requests
 
-_ORDERS = predicates.schema_of("o_orderkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string, o_custkey bigint, tags array<string>", {"status": "o_orderstatus", "price": "o_totalprice", "priority": "o_orderpriority", "customer": "o_custkey"})
+_SCHEMA = StructType([StructField("o_orderkey", LongType()), StructField("o_orderstatus", StringType()), StructField("o_totalprice", DoubleType()), StructField("o_orderpriority", StringType()), StructField("o_custkey", LongType()), StructField("tags", ArrayType(StringType()))])
+_ORDERS = predicates.schema_of(_SCHEMA, {"status": "o_orderstatus", "price": "o_totalprice", "priority": "o_orderpriority", "customer": "o_custkey"})
 
 
 def _orders(spark, d):

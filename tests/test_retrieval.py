@@ -107,9 +107,11 @@ def events(spark, tmp_path_factory):
     return path, e.schema, e
 
 
-def _run(rows, name, mode, ck):
-    q = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", ck).trigger(availableNow=True).start()
-    q.awaitTermination()
+def _run(rows, name, mode, ck, **trigger):
+    q = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", ck).trigger(**(trigger or {"availableNow": True})).start()
+    done = q.awaitTermination(60)
+    q.stop()
+    assert done
     return q.exception()
 
 
@@ -124,7 +126,7 @@ def test_streamed_daily_counts(spark, events, tmp_path):
 def test_streamed_dedup_and_sink(spark, events, tmp_path):
     path, schema, e = events
     rows = requests.deduplicated(requests.stream(spark, path, schema), ["id"])
-    requests.sink(rows, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    requests.sink(rows, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == e.count()
 
 
@@ -132,7 +134,7 @@ def test_late_rows_go_to_a_side_table(spark, tmp_path):
     src = str(tmp_path / "in")
     schema = "id bigint, ts timestamp, refused bigint"
     write = lambda rows: spark.createDataFrame(rows, "id bigint, ts string, refused bigint").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
-    run = lambda: requests.split_late(spark.readStream.schema(schema).parquet(src), str(tmp_path / "ok"), str(tmp_path / "late"), str(tmp_path / "ck")).awaitTermination()
+    run = lambda: requests.split_late(spark.readStream.schema(schema).parquet(src), str(tmp_path / "ok"), str(tmp_path / "late"), str(tmp_path / "ck")).awaitTermination(60)
     write([(1, "2024-01-01 10:00:00", 0), (2, "2024-01-01 09:00:00", 0)])
     run()
     write([(3, "2024-01-01 09:30:00", 0), (4, "2024-01-01 09:55:00", 0), (5, None, 0)])
@@ -146,7 +148,8 @@ def test_conversation_state_as_a_stream(spark, tmp_path):
     schema = "conv_id bigint, turn bigint, role string, concept string"
     spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "Paging"), (2, 0, "user", "X")], schema).coalesce(1).write.parquet(src)
     rows = requests.conversation_state(spark.readStream.schema(schema).parquet(src))
-    assert _run(rows, "states", "update", str(tmp_path / "ck")) is None
+    # timeouts ask for further batches without end, so one is run
+    assert _run(rows, "states", "update", str(tmp_path / "ck"), once=True) is None
     assert {(r.conv_id, r.turns, r.last_concept, r.ended) for r in spark.table("states").collect()} == {(1, 2, "Paging", False), (2, 1, None, False)}
     cache = spark.createDataFrame([("a", "2024-01-01 10:00:00", 1), ("b", "2024-01-01 08:00:00", 2), ("c", "2024-01-01 09:30:00", 3)], "key string, at string, used_at int").withColumn("stored_at", F.col("at").cast("timestamp"))
     assert [r.key for r in requests.unexpired(cache, "2024-01-01 10:00:01", 3600, 1).collect()] == ["c"]
