@@ -34,6 +34,11 @@ def attempt(queries: DataFrame, docs: DataFrame, preset: Preset, retry: int = 0)
     return ranked.select("query_id", "chunk_id", "rerank_rank", "rerank_score").join(worth.select("query_id", "confidence", "level"), "query_id")
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """Rows computed once: a few for each query. What follows neither plans nor runs the attempt again."""
+    return rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows.persist()
+
+
 def retrieve(queries: DataFrame, docs: DataFrame, preset: Preset, max_retries: int = MAX_RETRIES) -> DataFrame:
     """attempt() of the first try whose level suffices, or of the last; with attempts and is_fallback.
 
@@ -43,11 +48,12 @@ def retrieve(queries: DataFrame, docs: DataFrame, preset: Preset, max_retries: i
     for k in range(max_retries + 1):
         got = attempt(open_, docs, now, k).withColumn("attempts", F.lit(k + 1)).withColumn("is_fallback", F.lit(now.name.endswith("_fallback")))
         last = k == max_retries or not now.retry
+        got = got if last else _settled(got)
         enough = F.lit(True) if last else F.col("level").isin(*(x for x, n in _RANK.items() if n >= _RANK[now.min_confidence]))
         out.append(got.where(enough))
         if last:
             break
-        open_ = open_.join(got.where(enough).select("query_id").distinct(), "query_id", "left_anti")
+        open_ = _settled(open_.join(got.where(enough).select("query_id").distinct(), "query_id", "left_anti"))
         now = for_retry(now) if k + 1 < max_retries else for_fallback(preset)
     return reduce(DataFrame.unionByName, out)
 
