@@ -41,8 +41,8 @@ def test_assembly(spark):
     assert run(3, "A header of more tokens than that") == {1: ("", 0, 0, True), 2: ("", 0, 0, True)}
     full = run(1000)
     assert full[1] == (f"Head\n\n## A B\n{text}\n{text}\n\n## B\nTiny.", 1 + 1 + 30 + 30 + 1 + 1, 3, False)
-    some = run(40)  # the second chunk is cut at a sentence, which ends its section; the next section still fits
-    assert some[1][0] == f"Head\n\n## A B\n{text}\nOne short sentence." + assembly.CUT_MARK and some[1][3]
+    some = run(40)  # the second chunk is cut at a sentence, which ends its section; the next label does not fit any more
+    assert some[1][0] == f"Head\n\n## A B\n{text}\nOne short sentence. One short sentence." + assembly.CUT_MARK and some[1][3]
     assert run(1)[1] == ("Head[...]", 1, 0, True)
     assert "x" * 100 + "..." in run(40)[2][0]
 
