@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,9 +64,20 @@ def incidents(rows: DataFrame) -> DataFrame:
     return islands.groupBy("user_id", "island").agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.count(F.lit(1)).alias("length"))
 
 
+def nearest_second(rows: DataFrame, ts: str) -> Column:
+    """The whole second since 1970 that is nearest (a half goes to the even one). A time without a zone is taken as it
+    stands, whatever the session's zone."""
+    if dict(rows.dtypes)[ts] == "timestamp_ntz":
+        whole = F.unix_date(F.to_date(ts)) * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+        micros = whole.cast("bigint") * 1000000 + (F.extract(F.lit("SECOND"), ts) * 1000000).cast("bigint")
+    else:
+        micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    return F.rint(micros / 1e6).cast("bigint")
+
+
 def usage(rows: DataFrame, seconds: int = 60) -> DataFrame:
     """Requests and time of each user within the seconds up to each request."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-seconds, 0)
+    w = Window.partitionBy("user_id").orderBy(nearest_second(rows, "ts")).rangeBetween(-seconds, 0)
     return rows.select("id", "user_id", F.count(F.lit(1)).over(w).alias("requests"), F.sum("total_time_ms").over(w).alias("used"))
 
 
