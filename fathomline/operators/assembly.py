@@ -102,7 +102,7 @@ def _leading(text: str, budget: int) -> str:
         return ""
     kept: list[str] = []
     used = 0
-    for s in re.split(r"(?<=[.!?])\s+", text):
+    for s in re.split(T.SENTENCE_END, text):
         if used + len(s) // 4 > budget:
             break
         kept.append(s)
