@@ -6,8 +6,8 @@ for each order, whose rows hold the interpolated log-probability (or the interpo
 every language side by side: a character costs one search for all languages; only n-grams that no language has
 go on to the next lower order. A text goes to the language of the lowest cross-entropy per character.
 
-Rejection is calibrated on a bounded sample of training texts (MAX_CALIBRATION): the slope that turns differences of
-cross-entropy into a probability, and per language the cross-entropy beyond which a text is not accepted.
+Calibration reads every training text: it sets the slope that turns differences of cross-entropy into a probability,
+and per language the cross-entropy beyond which a text is not accepted.
 
 Every n-gram of the training texts is in the model, however rare; the model grows with the variety of the input.
 
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import as_texts, bounded_batches, crc_mod, map_batches
 
-ORDER, MAX_CALIBRATION = 4, 2000
+ORDER = 4
+#: The slopes of which calibration takes the best.
+SLOPES = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 HOLD_OUT, FOLDS = 2, 4
 #: Characters that are scored at once.
 CHUNK = 1 << 18
@@ -254,32 +256,44 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, FOLDS) != HOLD_OUT))
     model = build(count(usable, text_col, lang_col))
     if model.languages:
-        calibrate(model, usable.select(id_col, lang_col, text_col), id_col, text_col, lang_col)
+        calibrate(model, usable, text_col, lang_col)
     return model
 
 
-def calibrate(model: Model, usable: DataFrame, id_col: str, text_col: str, lang_col: str) -> None:
-    shared = usable.sparkSession.sparkContext.broadcast(model)
-    chosen = usable.select(F.col(id_col).alias("of")).orderBy(F.xxhash64("of"), "of").limit(MAX_CALIBRATION).distinct()
-    some = usable.join(F.broadcast(chosen), F.col(id_col) == F.col("of")).select(lang_col, text_col)
+def calibrate(model: Model, usable: DataFrame, text_col: str, lang_col: str) -> None:
+    """The slope of the least mean loss, and per language mean, spread and so limit of the cross-entropy, over every training text.
 
-    def run(batch: pa.RecordBatch) -> dict:
-        found = shared.value.entropies(as_texts(batch, text_col))
-        return {"lang": batch.column(lang_col), "h": pa.array([",".join(map(repr, map(float, r))) for r in found])}
+    A batch sends sums, a row a language; the driver gets one row a language.
+    """
+    shared = usable.sparkSession.sparkContext.broadcast(model)
+    losses = [f"loss_{k}" for k in range(len(SLOPES))]
+
+    def run(batch: pa.RecordBatch) -> dict | None:
+        h = shared.value.entropies(as_texts(batch, text_col))
+        at = {name: i for i, name in enumerate(shared.value.languages)}
+        # a language none of whose texts has a letter is not in the model
+        truth = np.array([at.get(x, -1) for x in batch.column(lang_col).to_pylist()])
+        known = (truth >= 0) & ~np.isnan(h[:, 0])
+        if not known.any():
+            return None
+        h, truth = h[known], truth[known]
+        rows, own = np.arange(len(h)), h[np.arange(len(h)), truth]
+        kinds, of = np.unique(truth, return_inverse=True)
+        out: dict = {"lang": pa.array(kinds.astype(np.int64)), "n": pa.array(np.bincount(of)), "own": pa.array(np.bincount(of, own)), "squares": pa.array(np.bincount(of, own**2))}
+        for name, slope in zip(losses, SLOPES, strict=True):
+            z = -slope * (h - h.min(axis=1, keepdims=True))
+            out[name] = pa.array(np.bincount(of, np.log(np.exp(z).sum(axis=1)) - z[rows, truth]))
+        return out
 
-    rows = [(r["lang"], np.array([float(x) for x in r["h"].split(",")])) for r in map_batches(some, run, "lang string,h string").collect()]
-    rows = [(model.languages.index(lang), h) for lang, h in rows if not np.isnan(h[0])]
-    if not rows:
+    sums = map_batches(usable.select(lang_col, text_col), run, "lang bigint,n bigint,own double,squares double," + ",".join(f"{x} double" for x in losses))
+    found = sums.groupBy("lang").agg(*(F.sum(x).alias(x) for x in ("n", "own", "squares", *losses))).collect()
+    if not found:
         return
-    truth, h = np.array([t for t, _ in rows]), np.stack([x for _, x in rows])
-
-    def loss(slope: float) -> float:
-        z = -slope * (h - h.min(axis=1, keepdims=True))
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]).mean())
-
-    model.slope = min((0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0), key=loss)
-    own = h[np.arange(len(h)), truth]
-    model.limits = [float(np.mean(x) + 4 * np.std(x) + 0.1) if len(x := own[truth == i]) else float("inf") for i in range(len(model.languages))]
+    model.slope = SLOPES[min(range(len(SLOPES)), key=lambda k: sum(r[losses[k]] for r in found))]
+    model.limits = [float("inf")] * len(model.languages)
+    for r in found:
+        mean = r.own / r.n
+        model.limits[r.lang] = mean + 4 * max(r.squares / r.n - mean * mean, 0.0) ** 0.5 + 0.1
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
