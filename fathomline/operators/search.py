@@ -25,7 +25,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """term, doc_id, tf, length: a row of docs is one document."""
     words = docs.select(F.col(id_col).alias("doc_id"), T.tokens(F.col(text_col)).alias("w"))
-    sized = words.select("doc_id", F.size("w").alias("length"), F.explode("w").alias("term"))
+    sized = words.select("doc_id", F.size("w").alias("length"), F.explode_outer("w").alias("term")).where("term is not null")
     return sized.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
@@ -35,7 +35,8 @@ def term_statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     Terms in more than half of all texts have an inverse frequency below zero; they get EPSILON of the mean instead.
     """
     sizes = docs.select(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.regexp_count(F.lower(text_col), F.lit(T.WORD)), F.lit(0))).alias("mean_length"))
-    frequency = docs.select(F.explode(F.array_distinct(T.tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # explode would have every text's words made once more, for a filter on their number; explode_outer has none
+    frequency = docs.select(F.explode_outer(F.array_distinct(T.tokens(F.col(text_col)))).alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = frequency.crossJoin(F.broadcast(sizes)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.select(F.avg("raw").alias("mean_raw"))
     idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("mean_raw") * EPSILON).otherwise(F.col("raw")).alias("idf"))
@@ -58,7 +59,7 @@ def keyword_scores(matched: DataFrame, terms: DataFrame, idf: DataFrame, sizes:
 def matched_postings(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """Postings of the queries' terms: others are dropped where they are read, so what is shuffled follows the queries."""
     words = docs.select("doc_id", T.tokens(F.col(text_col)).alias("w"))
-    sized = words.select("doc_id", F.size("w").alias("length"), F.explode("w").alias("term"))
+    sized = words.select("doc_id", F.size("w").alias("length"), F.explode_outer("w").alias("term")).where("term is not null")
     sought = terms.select("term").distinct()
     return sized.join(sought, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
