@@ -55,6 +55,12 @@ def cut(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unshipped(df: DataFrame) -> DataFrame:
+    """A side of a join that both sides are shuffled and sorted for, at any size. Spark would broadcast a stored table by the
+    size of its compressed files, and tables that grow with the input then outgrow the driver long before that limit."""
+    return df.hint("merge")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that cut wrote and that nothing reads any more; whatever was made from them is written by now."""
     for df in tables:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unshipped
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -19,10 +19,10 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("of")).agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("of"), "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        near = both.join(unshipped(labels), F.col("b") == F.col("node")).groupBy(F.col("a").alias("of")).agg(F.min("label").alias("near"))
+        step = labels.join(unshipped(near), F.col("node") == F.col("of"), "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = step.select(F.col("node").alias("at"), F.col("label").alias("top"))
-        nxt = cut(step.join(up, F.col("label") == F.col("at"), "left").select("node", "was", F.coalesce(F.least("top", "label"), F.col("label")).alias("label")), "labels")
+        nxt = cut(step.join(unshipped(up), F.col("label") == F.col("at"), "left").select("node", "was", F.coalesce(F.least("top", "label"), F.col("label")).alias("label")), "labels")
         changed = nxt.where("label <> was").limit(1).count()
         labels = nxt.select("node", "label")
         if not changed:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, fresh, map_batches, row_key
+from .common import as_bytes, cut, fresh, map_batches, row_key, unshipped
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -82,43 +82,43 @@ def links(distinct: DataFrame) -> DataFrame:
     # keys of random look-ups rarely meet a table, so what is left is small
     met = cut(
         own.withColumn("filed", F.lit(True)).unionByName(balls.withColumn("filed", F.lit(False)))
-        .join(tables, "key").where(~(F.col("filed") & (F.col("n") == 1))).select("key", "fp", "filed", "leader"),
+        .join(unshipped(tables), "key").where(~(F.col("filed") & (F.col("n") == 1))).select("key", "fp", "filed", "leader"),
         "buckets",
     )
     stars = met.where((F.col("fp") != F.col("leader")) & _near("fp", "leader", DISTANCE)).select(F.col("fp").alias("a"), F.col("leader").alias("b"))
     first = components(stars)
-    labelled = met.join(first, F.col("fp") == F.col("node"), "left").select("key", "fp", "filed", F.coalesce("label", "fp").alias("label"))
+    labelled = met.join(unshipped(first), F.col("fp") == F.col("node"), "left").select("key", "fp", "filed", F.coalesce("label", "fp").alias("label"))
     labelled = cut(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     # what a bucket still holds differs in the other segment, in DISTANCE bits at most: one of DISTANCE + 1 parts is equal
     other = F.when(F.shiftrightunsigned("key", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    open_ = labelled.join(mixed, "key").withColumn("other", other)
+    open_ = labelled.join(unshipped(mixed), "key").withColumn("other", other)
     width = 32 // (DISTANCE + 1)
     parts = [F.shiftleft(F.lit(k).cast("bigint"), 32).bitwiseOR(F.shiftright("other", width * k).bitwiseAND(F.lit((1 << width) - 1))) for k in range(DISTANCE + 1)]
     open_ = open_.select("key", "fp", "label", "filed", F.explode(F.array(*parts)).alias("part"))
     x = open_.select("key", "part", F.col("fp").alias("a"), F.col("label").alias("la"))
     y = open_.where("filed").select(F.col("key").alias("key2"), F.col("part").alias("part2"), F.col("fp").alias("b"), F.col("label").alias("lb"))
     same = (F.col("key") == F.col("key2")) & (F.col("part") == F.col("part2"))
-    rest = x.join(y, same & (F.col("la") != F.col("lb")) & _near("a", "b", DISTANCE)).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    rest = x.join(unshipped(y), same & (F.col("la") != F.col("lb")) & _near("a", "b", DISTANCE)).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
     second = components(rest).select(F.col("node").alias("old"), F.col("label").alias("new"))
     named = first.unionByName(second.select(F.col("old").alias("node"), F.col("old").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
-    return named.join(second, F.col("label") == F.col("old"), "left").select(F.col("node").alias("fp"), F.coalesce("new", "label").alias("label"))
+    return named.join(unshipped(second), F.col("label") == F.col("old"), "left").select(F.col("node").alias("fp"), F.coalesce("new", "label").alias("label"))
 
 
 def _classes(marks: DataFrame, *least) -> DataFrame:
     """fp2 and the least of each component, by any aggregates named least_*."""
     distinct = cut(marks.groupBy("fp").agg(*(f(c).alias(n) for n, f, c in least)), "distinct")
     labels = cut(links(distinct.select("fp")), "components").select(F.col("fp").alias("fp2"), "label")
-    named = distinct.join(labels, F.col("fp") == F.col("fp2"), "left").drop("fp2").withColumn("label", F.coalesce("label", "fp"))
-    tops = labels.select("label").distinct().join(named.select(F.col("label").alias("of"), *(n for n, _, _ in least)), F.col("label") == F.col("of")).groupBy("of").agg(*(f(n).alias(f"top_{n}") for n, f, _ in least))
-    return named.join(tops, F.col("label") == F.col("of"), "left").select(F.col("fp").alias("fp2"), *(F.when(F.col("of").isNull(), F.col(n)).otherwise(F.col(f"top_{n}")).alias(n) for n, _, _ in least))
+    named = distinct.join(unshipped(labels), F.col("fp") == F.col("fp2"), "left").drop("fp2").withColumn("label", F.coalesce("label", "fp"))
+    tops = labels.select("label").distinct().join(unshipped(named.select(F.col("label").alias("of"), *(n for n, _, _ in least))), F.col("label") == F.col("of")).groupBy("of").agg(*(f(n).alias(f"top_{n}") for n, f, _ in least))
+    return named.join(unshipped(tops), F.col("label") == F.col("of"), "left").select(F.col("fp").alias("fp2"), *(F.when(F.col("of").isNull(), F.col(n)).otherwise(F.col(f"top_{n}")).alias(n) for n, _, _ in least))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id that links reach), a row per document."""
     marks = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     by_fp = _classes(marks, ("component_id", F.min, id_col))
-    return marks.join(by_fp, F.col("fp") == F.col("fp2")).select(id_col, "fp", "component_id")
+    return marks.join(unshipped(by_fp), F.col("fp") == F.col("fp2")).select(id_col, "fp", "component_id")
 
 
 def digest(result: DataFrame) -> DataFrame:
@@ -128,9 +128,9 @@ def digest(result: DataFrame) -> DataFrame:
 def take(docs: DataFrame, key: Column, marks: DataFrame, chosen: DataFrame) -> DataFrame:
     """The documents whose key is a chosen doc, with all columns; of rows with equal keys one. marks: a row per document."""
     rows = marks.groupBy(F.col("doc").alias("doc2")).agg(F.count(F.lit(1)).alias("n"))
-    kept = cut(chosen.join(rows, F.col("doc") == F.col("doc2")).select("doc", (F.col("n") > 1).alias("again")), "kept")
+    kept = cut(chosen.join(unshipped(rows), F.col("doc") == F.col("doc2")).select("doc", (F.col("n") > 1).alias("again")), "kept")
     own, again = fresh(docs, "row_key"), fresh(docs, "row_again")
-    found = docs.withColumn(own, key).join(kept.select(F.col("doc").alias(own), F.col("again").alias(again)), own)
+    found = docs.withColumn(own, key).join(unshipped(kept.select(F.col("doc").alias(own), F.col("again").alias(again))), own)
     out = found.where(~F.col(again)).select(*docs.columns)
     if kept.where("again").limit(1).count():
         out = out.unionByName(found.where(F.col(again)).dropDuplicates([own]).select(*docs.columns))
