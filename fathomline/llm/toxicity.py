@@ -81,7 +81,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit_matrix(rows: list[list[int]], y: np.ndarray, n: int, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_matrix(rows: list[np.ndarray], y: np.ndarray, n: int, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
     """AdaGrad on the logistic loss, both classes weighing the same overall within a factor of 4."""
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(n, np.float32), rng.normal(0, 0.01, (n, RANK)).astype(np.float32), 0.0
@@ -139,14 +139,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         def slim(batch: pa.RecordBatch) -> dict:
             return {"y": batch.column("y"), "terms": [[t for t in x if t in shared.value] for x in batch.column("terms").to_pylist()]}
 
-        got = map_batches(terms, slim, "y int,terms array<bigint>").collect()
+        got = map_batches(terms, slim, "y int,terms array<bigint>").toArrow()
     finally:
         terms.unpersist()
-    got.sort(key=lambda r: (r["y"], r["terms"]))
-    bias, weights, vectors = fit_matrix([[columns[t] for t in r["terms"]] for r in got], np.array([float(r["y"] == 1) for r in got], np.float32), len(columns))
+    bias, weights, vectors = fit_matrix(*_sample(got, np.array(best, np.int64)), len(columns))
     return Model(columns, bias, weights, vectors)
 
 
+def _sample(got: pa.Table, best: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows of the model for each text, and whether its label is 1; in the order of labels, then terms. The terms, sorted as best is, stay
+    numbers of Arrow: as objects of Python those of MAX_LABELLED rows took more of the driver than all else there."""
+    y = got.column("y").combine_chunks().to_numpy()
+    lists = got.column("terms").combine_chunks()
+    found = np.searchsorted(best, lists.flatten().to_numpy()).astype(np.int32)
+    ends = np.cumsum(lists.value_lengths().to_numpy())
+    rows = np.split(found, ends[:-1])
+    # numbers of one width, the highest byte first, compare as lists of them do
+    order = sorted(range(len(rows)), key=lambda i: (y[i], rows[i].astype(">i4").tobytes()))
+    return [rows[i] for i in order], (y[order] == 1).astype(np.float32)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

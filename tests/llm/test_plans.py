@@ -1,6 +1,12 @@
 """Joins whose sides grow with the input are not broadcast by the size of compressed files."""
 
-from fathomline.llm import components, near_dedup, simhash
+import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+
+from fathomline.llm import components, near_dedup, simhash, toxicity
 from fathomline.llm.common import cut
 
 ROWS = [(k, f"some words of a text that stands here for number {k // 3} and goes on for a while") for k in range(30)] + [(40, None), (41, ""), (41, "")]
@@ -33,3 +39,29 @@ def test_near_dedup_ships_no_growing_table(spark, monkeypatch):
     out = near_dedup.keep_one(spark.createDataFrame(ROWS, "doc_id bigint, text string"))
     seen.append(out._jdf.queryExecution().sparkPlan().toString())
     assert {r.doc_id for r in out.collect()} == {*range(0, 30, 3), 40} and not [p for p in seen if "Broadcast" in p]
+
+
+def test_toxicity_holds_its_sample_as_numbers(spark):
+    """Pipeline: a Python object for each of 640,000 terms of this sample takes more than 20 MB of the driver."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(400)]
+    texts = [(i, " ".join(rng.sample(words, 160)) + " vile" * (i % 5 == 0)) for i in range(1250)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in texts], "doc_id bigint, toxic int")
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20e6 and model.score(b"vile") > 0.5 > model.score(texts[1][1].encode())
+
+
+def test_toxicity_orders_its_sample_as_lists_do():
+    best = np.array([3, 5, 256, 70_000, 1 << 19])
+    rows = [(1, [3, 256]), (0, [5]), (1, [3]), (0, []), (0, [3, 70_000]), (1, [3, 256]), (0, [3, 256, 1 << 19]), (2, [])]
+    # more than one chunk, as Spark hands them over
+    schema = pa.schema([("y", pa.int32()), ("terms", pa.list_(pa.int64()))])
+    got = pa.concat_tables([pa.Table.from_pylist([{"y": y, "terms": t} for y, t in part], schema) for part in (rows[:3], rows[3:])])
+    lists, y = toxicity._sample(got, best)
+    assert [[int(best[i]) for i in r] for r in lists] == [t for _, t in sorted(rows)] and list(y) == [0] * 4 + [1] * 3 + [0]
