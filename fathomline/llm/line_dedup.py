@@ -57,12 +57,16 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, row key, line number, line in lower case; of every line with a word."""
+def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, row key, line number, line as it stands but for white space; of every line."""
     # the row key is made before lines are split off, once a document and not once a line
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("rk"), spaced(F.col(text_col)).alias("text"))
-    rows = keyed.select("id", "rk", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.where(F.trim("line") != "").select("id", "rk", "line_no", F.lower("line").alias("line"))
+    return keyed.select("id", "rk", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, row key, line number, line in lower case; of every line with a word."""
+    return _parts(docs, id_col, text_col).where(F.trim("line") != "").select("id", "rk", "line_no", F.lower("line").alias("line"))
 
 
 def bucket_levels(docs: DataFrame, id_col: str, text_col: str) -> list[int]:
@@ -89,9 +93,10 @@ def _lines(docs: DataFrame, levels: list[int], id_col: str, text_col: str) -> Da
         level = F.coalesce(F.get(table, _bucket(h)), never_null)
         return F.shiftleft(level.cast("bigint"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    hashes = F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
-    rows = _rows(docs, id_col, text_col).select("id", "rk", "line_no", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("h"))
-    return rows.select("id", "rk", "line_no", F.sort_array(F.transform("h", packed)).alias("tokens"))
+    # what stands inside a transform is interpreted: repeats and empty words go outside, where the code is compiled
+    hashes = F.transform(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), packed)
+    tokens = F.array_distinct(F.array_remove(hashes, packed(F.xxhash64(F.lit("")))))
+    return _rows(docs, id_col, text_col).select("id", "rk", "line_no", F.sort_array(tokens).alias("tokens"))
 
 
 def _parity(flips: Callable[[Column], Column]) -> Column:
@@ -213,8 +218,10 @@ def _later_of_similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_
     near = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("rk0"))
     near = near.join(_small(rows, 32), (F.col("rk0") == F.col("of")) & F.col("id").eqNullSafe(F.col("of_id")), "left_semi")
     here = (F.col("rk") == F.col("at.rk")) & (F.col("line_no") == F.col("at.line_no")) & F.col("id").eqNullSafe(F.col("at.id"))
-    found = _rows(near, "id", "text").join(_small(sought, 80), here).select("k", "k2", "r", "at", "line").dropDuplicates(["k", "k2"])
-    sets = cut(found.withColumn("words", F.array_distinct(_words(F.col("line")))).drop("line"), "sets")
+    # lower case is dear beyond ASCII, so only the lines that are sought get it
+    found = _parts(near, "id", "text").join(_small(sought, 80), here).select("k", "k2", "r", "at", "line").dropDuplicates(["k", "k2"])
+    sets = cut(found.withColumn("words", F.array_distinct(_words(F.lower("line")))).drop("line"), "sets")
+    free_shuffles(docs.sparkSession)
     one, two = (sets.select(*(F.col(c).alias(f"{x}_{c}") for c in sets.columns)) for x in "uv")
     both = pairs.join(one, F.col("u") == F.col("u_k")).join(two, F.col("v") == F.col("v_k"))
     shared = F.size(F.array_intersect("u_words", "v_words"))
@@ -234,6 +241,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prefix = F.when(n >= 4, F.slice("tokens", F.lit(1), _prefix_length(n) + 1)).alias("prefix")
     digest = [F.xxhash64("tokens").alias("k"), F.xxhash64(F.lit(1), "tokens").alias("k2")]
     lines = cut(_lines(docs, levels, id_col, text_col).select("id", "rk", "line_no", *digest, n.alias("n"), prefix, *_bitmaps()), "lines", plain=True)
+    free_shuffles(spark)
     # one line of each class stands for it
     held = [F.first(c).alias(c) for c in ("n", "prefix", "b0", "b1")]
     least = F.min(F.struct("id", "rk", "line_no")).alias("at")

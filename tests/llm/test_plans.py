@@ -1,12 +1,13 @@
 """Joins whose sides grow with the input are not broadcast by the size of compressed files."""
 
 import random
+import re
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 
-from fathomline.llm import components, near_dedup, simhash, toxicity
+from fathomline.llm import components, line_dedup, near_dedup, simhash, toxicity
 from fathomline.llm.common import cut
 
 ROWS = [(k, f"some words of a text that stands here for number {k // 3} and goes on for a while") for k in range(30)] + [(40, None), (41, ""), (41, "")]
@@ -65,3 +66,12 @@ def test_toxicity_orders_its_sample_as_lists_do():
     got = pa.concat_tables([pa.Table.from_pylist([{"y": y, "terms": t} for y, t in part], schema) for part in (rows[:3], rows[3:])])
     lists, y = toxicity._sample(got, best)
     assert [[int(best[i]) for i in r] for r in lists] == [t for _, t in sorted(rows)] and list(y) == [0] * 4 + [1] * 3 + [0]
+
+
+def test_line_dedup_compiles_what_need_not_be_interpreted(spark):
+    """op6_line_dedup: Spark interprets what a transform reads, so repeats and empty words are removed outside of it."""
+    docs = spark.createDataFrame([(1, "b A  a b\n\nB"), (2, None)], "doc_id bigint, text string")
+    lines = line_dedup._lines(docs, [0, 1, 2], "doc_id", "text")
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" in plan and not re.search(r"transform\(array_(remove|distinct)", plan)
+    assert {(r.id, r.line_no): len(r.tokens) for r in lines.collect()} == {(1, 0): 2, (1, 2): 1}
