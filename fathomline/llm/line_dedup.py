@@ -150,7 +150,8 @@ def _may_match(x: str, y: str) -> Column:
     apart = [F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}")) for k in ("b0", "b1")]
     alike = (a > LONG_SET) == (b > LONG_SET)
     bits = F.when(alike, F.bit_count(apart[0]) + F.bit_count(apart[1])).otherwise(F.bit_count(apart[0].bitwiseXOR(apart[1])))
-    return (bits * 9 <= a + b) & (a * 5 >= b * 4) & (b * 5 >= a * 4) & ((F.least(a - p, b - q)) * 9 >= (a + b) * 4)
+    # the cheapest first: of billions of pairs most end here
+    return (b * 5 >= a * 4) & (a * 5 >= b * 4) & (bits * 9 <= a + b) & ((F.least(a - p, b - q)) * 9 >= (a + b) * 4)
 
 
 def _small(df: DataFrame, bytes_a_row: int) -> DataFrame:
@@ -201,12 +202,17 @@ def _prefix_tokens(classes: DataFrame, most: int | None = None) -> DataFrame:
     return rows.where(F.col("pos") < _prefix_length(F.col("n"))).withColumn("m", _packed("n", "pos", "done"))
 
 
-def _keys(classes: DataFrame, common: DataFrame) -> DataFrame:
-    """Entries (double, key) for each token of a prefix, or for its pairs if it is common; a pair stands where its first token does."""
-    told = _prefix_tokens(classes).join(common, F.col("key") == F.col("token2"), "left")
+def _singles(classes: DataFrame, common: DataFrame) -> DataFrame:
+    """Entries for each token of a prefix that is not common."""
+    return _prefix_tokens(classes).join(common, F.col("key") == F.col("token2"), "left_anti").select("key", "k", "r", *_HELD)
+
+
+def _doubles(classes: DataFrame, common: DataFrame) -> DataFrame:
+    """Entries for each common token of a prefix and each that follows; a pair stands where its first token does."""
+    told = _prefix_tokens(classes).join(common, F.col("key") == F.col("token2"))
     after = F.slice("prefix", F.col("pos") + 2, F.size("prefix"))
-    keys = F.when(F.col("token2").isNull(), F.array("key")).otherwise(F.transform(after, lambda t: F.xxhash64("key", t)))
-    return told.select("k", "r", *_HELD, F.col("token2").isNotNull().alias("double"), F.explode(keys).alias("key"))
+    pairs = F.transform(after, lambda t: F.xxhash64("key", t))
+    return told.select("k", "r", *_HELD, F.explode(pairs).alias("key")).select("key", "k", "r", *_HELD)
 
 
 def _later_of_similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -220,12 +226,15 @@ def _later_of_similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_
     here = (F.col("rk") == F.col("at.rk")) & (F.col("line_no") == F.col("at.line_no")) & F.col("id").eqNullSafe(F.col("at.id"))
     # lower case is dear beyond ASCII, so only the lines that are sought get it
     found = _parts(near, "id", "text").join(_small(sought, 80), here).select("k", "k2", "r", "at", "line").dropDuplicates(["k", "k2"])
-    sets = cut(found.withColumn("words", F.array_distinct(_words(F.lower("line")))).drop("line"), "sets")
+    # a line is smaller to keep and to move than its words
+    lower = found.withColumn("line", F.lower("line"))
+    sets = cut(lower.withColumn("words", F.size(F.array_distinct(_words(F.col("line"))))), "sets", plain=True)
     free_shuffles(docs.sparkSession)
     one, two = (sets.select(*(F.col(c).alias(f"{x}_{c}") for c in sets.columns)) for x in "uv")
     both = pairs.join(one, F.col("u") == F.col("u_k")).join(two, F.col("v") == F.col("v_k"))
-    shared = F.size(F.array_intersect("u_words", "v_words"))
-    alike = both.where(shared * 9 >= (F.size("u_words") + F.size("v_words")) * 4)
+    # without repeats; named once in the condition, which would split the lines again for each mention
+    shared = F.size(F.array_intersect(_words(F.col("u_line")), F.split("v_line", " ")))
+    alike = both.where(shared * 9 >= (F.col("u_words") + F.col("v_words")) * 4)
     end = lambda x: F.struct(*(F.col(f"{x}_{c}").alias(c) for c in ("k", "k2", "r")))
     out = cut(alike.select(F.when(F.col("u_at") > F.col("v_at"), end("u")).otherwise(end("v")).alias("c")).select("c.*").distinct(), "later")
     discard(pairs, ends, sought, rows, sets)
@@ -257,7 +266,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tokens = _prefix_tokens(open_index).where(F.shiftrightunsigned("key", HASH_BITS) >= 4 * (HOT.bit_length() - 1))
     common = cut(tokens.groupBy(F.col("key").alias("token2")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT).select("token2"), "common")
     shipped = _small(common, 24)
-    doubles = cut(_keys(open_index, shipped).where("double").select("key", "k", "r", *_HELD), "doubles", plain=True)
+    doubles = cut(_doubles(open_index, shipped), "doubles", plain=True)
     hot_keys = cut(doubles.groupBy(F.col("key").alias("key2")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT).select("key2"), "hot_keys")
     is_hot, shipped_hot = F.col("key") == F.col("key2"), _small(hot_keys, 24)
     hot = doubles.join(shipped_hot, is_hot, "left_semi")
@@ -272,7 +281,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     same_key = (F.col("x_key") == F.col("y_key")) & (F.col("x_k") != F.col("y_k"))
     # y is the shorter set, or of equal ones that of the smaller k, and its prefix that much shorter
-    entries = _keys(_marked(index, decided), shipped).join(shipped_hot, is_hot & F.col("double"), "left_anti").select("key", "k", "r", *_HELD)
+    pairs = _marked(doubles.join(shipped_hot, is_hot, "left_anti"), decided).withColumn("m", F.col("m").bitwiseOR(F.col("done").cast("bigint")))
+    entries = _singles(_marked(index, decided), shipped).unionByName(pairs.drop("done"))
     # no key has more than HOT entries here, so that parts are even; what the join asks of one side is said of both before
     entries = entries.where(" and ".join(f"{c} is not null" for c in entries.columns)).repartition("key")
     a, b = _size("x_m"), _size("y_m")
@@ -324,7 +334,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, n_chars, text_sha256 of the text that is left; a row per document."""
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint").alias("n_lines")
+    # feeds are counted as bytes, which makes no strings of the lines
+    feeds = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    n_lines = F.coalesce(feeds + 1, F.lit(0)).cast("bigint").alias("n_lines")
     left = dedup_lines(docs.select("doc_id", "text", n_lines), count_col="n_removed")
     text = F.coalesce("text", F.lit(""))
     return left.select("doc_id", "n_lines", "n_removed", F.length(text).cast("bigint").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))

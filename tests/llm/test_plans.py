@@ -75,3 +75,15 @@ def test_line_dedup_compiles_what_need_not_be_interpreted(spark):
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
     assert "array_distinct" in plan and not re.search(r"transform\(array_(remove|distinct)", plan)
     assert {(r.id, r.line_no): len(r.tokens) for r in lines.collect()} == {(1, 0): 2, (1, 2): 1}
+
+
+def test_line_dedup_interprets_pairs_of_common_tokens_only(spark, monkeypatch):
+    """op6_line_dedup: an array for each single token of a prefix was made by interpreted code, and the words of a line were stored."""
+    seen = _plans(monkeypatch, line_dedup)
+    monkeypatch.setattr(line_dedup, "HOT", 1)
+    twice = "the same seven words and a repeated word word"
+    docs = spark.createDataFrame([*ROWS, (50, f"{twice}\n\n"), (51, f"  {twice.upper()} more \nx"), (52, "\n")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.digest(docs).collect()}
+    assert seen and not [p for p in seen if "explode(CASE WHEN" in p or "array_distinct(array_remove(split(lower" in p and "size(array_distinct" not in p]
+    assert got[40] == (0, 0) and got[41] == (1, 0) and got[50] == (3, 0) and got[51] == (2, 1) and got[52] == (2, 0)
+    assert sum(n for i, (_, n) in got.items() if i < 40) == 29
